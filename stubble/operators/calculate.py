@@ -130,13 +130,25 @@ def calculate(df: DataFrame, regimes: list[Regime] = REGIMES) -> DataFrame:
     by_mode = F.col("Regime") == "by_mode"
     df = df.where(F.col("Regime").isNotNull() & (~by_mode | F.col("SamplingMode").isNotNull()))
 
-    subsample = F.col("Regime") == "subsample"
-    wet_only = F.col("Regime") == "wet_only"
-    air_dry = F.col("Regime") == "air_dry_only"
-    only_grain = F.col("SamplingMode") == "grain"
-    only_biomass = F.col("SamplingMode") == "biomass"
-    both = F.col("SamplingMode") == "both"
-    early_grain, early_biomass, early_both = by_mode & only_grain, by_mode & only_biomass, by_mode & both
+    # Flags are columns of their own: each is computed once per row and the branches below
+    # stay small.
+    mode = {m: F.col("SamplingMode") == m for m in ("grain", "biomass", "both")}
+    flags = {f"__{m}": F.coalesce(test, F.lit(False)) for m, test in mode.items()}
+    flags |= {f"__early_{m}": by_mode & F.coalesce(test, F.lit(False)) for m, test in mode.items()}
+    flags |= {
+        "__by_mode": by_mode,
+        "__subsample": F.col("Regime") == "subsample",
+        "__wet_only": F.col("Regime") == "wet_only",
+        "__air_dry": F.col("Regime") == "air_dry_only",
+    }
+    df = df.withColumns(flags)
+    by_mode, subsample, wet_only, air_dry = (
+        F.col(c) for c in ("__by_mode", "__subsample", "__wet_only", "__air_dry")
+    )
+    only_grain, only_biomass, both = (F.col(c) for c in ("__grain", "__biomass", "__both"))
+    early_grain, early_biomass, early_both = (
+        F.col(c) for c in ("__early_grain", "__early_biomass", "__early_both")
+    )
 
     # Grain masses of a single-sample row are those of the sample that was taken.
     df = df.withColumns(
@@ -156,7 +168,7 @@ def calculate(df: DataFrame, regimes: list[Regime] = REGIMES) -> DataFrame:
     def per_area(mass: Column, early_rule_holds: Column, late_rule_holds: Column) -> Column:
         one_area = F.when(only_grain, grain_area).when(only_biomass, bio_area)
         return F.when(early_rule_holds & both, mass / (grain_area + bio_area)).when(
-            early_rule_holds | late_rule_holds, guarded_ratio(mass, one_area)
+            early_rule_holds | late_rule_holds, mass / one_area
         )
 
     df = df.withColumns(
@@ -201,7 +213,7 @@ def calculate(df: DataFrame, regimes: list[Regime] = REGIMES) -> DataFrame:
             "ResidueMassWetPerArea_P2": guarded_ratio("ResidueMassWet_P2", bio_area),
             "ResidueMassAirDryPerArea_P2": guarded_ratio("ResidueMassAirDry_P2", bio_area),
         }
-    )
+    ).drop(*flags)
 
 
 def ordered(df: DataFrame) -> DataFrame:

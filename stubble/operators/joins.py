@@ -48,10 +48,9 @@ def attach_points_full(df: DataFrame, points: DataFrame, keys: list[str]) -> Dat
     Written as a left join plus the unmatched points, so the large side keeps its
     partitioning and its hot keys can be split; a full outer join allows neither.
     """
-    points = staged(points)
     matched = attach(df, points, keys, "left")
     seen = attach(df.select(*keys), points.select(*keys).distinct(), keys, "left_semi").distinct()
-    lonely = attach(points, staged(seen), keys, "left_anti")
+    lonely = attach(points, seen, keys, "left_anti")
     return matched.unionByName(lonely, allowMissingColumns=True)
 
 
@@ -59,7 +58,7 @@ def attach_points_inner(
     df: DataFrame, points: DataFrame, key: str, lon: str = "X", lat: str = "Y"
 ) -> DataFrame:
     """Inner attach by point id; coordinates become Longitude and Latitude."""
-    located = attach(df, staged(points), [key], "inner")
+    located = attach(df, points, [key], "inner")
     return located.withColumnsRenamed({lon: "Longitude", lat: "Latitude"})
 
 
@@ -112,7 +111,7 @@ def apply_corrections(
             for t in targets
         ]
     )
-    joined = attach(df, staged(per_key), keys, null_safe=False)
+    joined = attach(df, per_key, keys, null_safe=False)
     fixed = {
         t: F.when(
             F.col(f"__new_{t}").isNotNull(), F.col(f"__new_{t}.val").cast(df.schema[t].dataType)

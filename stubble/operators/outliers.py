@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stubble.functions import as_col
-from stubble.operators.joins import attach_group_stats
+from stubble.operators.joins import attach, attach_group_stats
 from stubble.operators.quantiles import quantile_name, quartiles
+from stubble.operators.staging import staged
 
 # Multiples of the interquartile range at the inner and outer fence.
 INNER = 1.5
@@ -86,13 +87,12 @@ def map_layer(
     Empty when the column holds no value at all.
     """
     q = _q(column)
-    layer = with_quartiles(df, keys, [column]).withColumns(
+    found = staged(quartiles(df, keys, [column]).drop(f"{column}_n"))
+    layer = attach(df, found, keys).withColumns(
         {"Quartiles": quartile_class(column, *q), "Outliers": outlier_class(column, q[0], q[2])}
     )
     if label is not None:
         layer = layer.withColumn("Label", as_col(label))
     keep = [*point, *keys, column, "Quartiles", "Outliers"] + (["Label"] if label else [])
     layer = layer.select(*keep)
-    if df.where(as_col(column).isNotNull()).select(F.lit(1)).limit(1).isEmpty():
-        return layer.where(F.lit(False))
-    return layer
+    return layer.where(F.lit(False)) if found.isEmpty() else layer

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stubble.functions import as_col
@@ -92,21 +92,21 @@ def with_group_mean(df: DataFrame, keys: list[str], column: str, name: str) -> D
     return attach_group_stats(df, means, keys)
 
 
-def tiered_means(df: DataFrame, fine: list[str], coarse: list[str], value) -> DataFrame:
-    """Per fine group: its mean, or the mean of its coarse group when it has none.
+def tier_sums(value) -> list[Column]:
+    """Sum and count of a value per fine group, for ``tier_mean``."""
+    v = F.nanvl(as_col(value).cast("double"), F.lit(None))
+    return [F.sum(v).alias("__sum"), F.count(v).alias("__count")]
+
+
+def tier_mean(coarse: list[str]) -> Column:
+    """Mean of the fine group, or of its coarse group when it has no value.
 
-    Sums and counts are taken once per fine group; the coarse mean is folded from those
-    few rows, so the large table is aggregated once.
+    Works on the few rows of a per-group table, so the large table is aggregated once.
     """
-    v = F.nanvl(as_col(value).cast("double"), F.lit(None))
-    sums = staged(df.groupBy(*fine).agg(F.sum(v).alias("__s"), F.count(v).alias("__c")))
-    wide = sums.groupBy(*coarse).agg(F.sum("__s").alias("__cs"), F.sum("__c").alias("__cc"))
-    both = attach(sums, wide, coarse)
-    return both.select(
-        *fine,
-        F.when(F.col("__c") > 0, F.col("__s") / F.col("__c"))
-        .when(F.col("__cc") > 0, F.col("__cs") / F.col("__cc"))
-        .alias("tiered_mean"),
+    wide = Window.partitionBy(*coarse)
+    total, count = F.sum("__sum").over(wide), F.sum("__count").over(wide)
+    return F.when(F.col("__count") > 0, F.col("__sum") / F.col("__count")).when(
+        count > 0, total / count
     )
 
 
@@ -114,35 +114,46 @@ def with_tiered_mean(
     df: DataFrame, fine: list[str], coarse: list[str], value, name: str
 ) -> DataFrame:
     """Attach the mean of the fine group, else of the coarse group."""
-    means = tiered_means(df, fine, coarse, value).withColumnRenamed("tiered_mean", name)
-    return attach_group_stats(df, means, fine)
+    sums = df.groupBy(*fine).agg(*tier_sums(value))
+    return attach_group_stats(df, sums.select(*fine, tier_mean(coarse).alias(name)), fine)
 
 
-def linear_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Least-squares line per group over complete pairs.
+def fit_sums(x, y) -> list[Column]:
+    """Aggregates of a least-squares line over complete pairs, for ``fit_columns``."""
+    a, b = as_col(x), as_col(y)
+    paired = F.when(a.isNotNull(), b)
+    return [
+        F.regr_slope(b, a).alias("__slope"),
+        F.coalesce(F.regr_intercept(b, a), F.avg(paired)).alias("__intercept"),
+        F.regr_r2(b, a).alias("__r2"),
+        F.count(paired).alias("__pairs"),
+    ]
+
+
+def fit_columns() -> list[Column]:
+    """Line and goodness of fit.
 
     A constant x has no slope; its intercept is the mean of y, as for a fit that drops
-    the term. Adjusted R2 is null without residual degrees of freedom.
+    the term. Adjusted R2 is null without residual degrees of freedom. Without a pair
+    there is no fit.
     """
-    a, b = as_col(x), as_col(y)
-    pairs = df.where(a.isNotNull() & b.isNotNull())
-    fit = pairs.groupBy(*keys).agg(
-        F.regr_slope(b, a).alias("XEstimate"),
-        F.coalesce(F.regr_intercept(b, a), F.avg(b)).alias("InterceptEstimate"),
-        F.regr_r2(b, a).alias("__r2"),
-        F.count("*").alias("__n"),
-    )
-    n = F.col("__n")
-    straight = F.col("XEstimate").isNotNull()
-    return fit.select(
-        *keys,
-        "InterceptEstimate",
-        "XEstimate",
-        F.when(straight & (n > 2), 1 - (1 - F.col("__r2")) * (n - 1) / (n - 2))
+    n, slope = F.col("__pairs"), F.col("__slope")
+    straight, none = slope.isNotNull(), n == 0
+    return [
+        F.col("__intercept").alias("InterceptEstimate"),
+        slope.alias("XEstimate"),
+        F.when(none, None)
+        .when(straight & (n > 2), 1 - (1 - F.col("__r2")) * (n - 1) / (n - 2))
         .when(~straight, F.lit(0.0))
         .alias("AdjRSquared"),
-        F.when(straight, n - 2).otherwise(n - 1).alias("DfResidual"),
-    )
+        F.when(none, None).when(straight, n - 2).otherwise(n - 1).alias("DfResidual"),
+    ]
+
+
+def linear_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Least-squares line per group that has a complete pair."""
+    fit = df.groupBy(*keys).agg(*fit_sums(x, y)).where(F.col("__pairs") > 0)
+    return fit.select(*keys, *fit_columns())
 
 
 def long_to_wide(

@@ -29,17 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded for comparison; adding zero turns -0.0 into 0.0."""
+# A value on a rounding tie would be decided by the last bit of a sum, which depends on
+# the order of addition; the factor takes ties off the edge in both engines alike.
+_OFF_TIES = "1.000000000001"
+
+
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles rounded for comparison (half up, never -0.0)."""
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns(
-        {c: F.round(F.col(f"`{c}`").cast("double"), places) + F.lit(0.0) for c in doubles}
-    )
+    grid = F.lit(10.0**places)
+
+    def near(c: str):
+        scaled = F.col(f"`{c}`").cast("double") * grid * F.lit(float(_OFF_TIES))
+        return F.floor(scaled + F.lit(0.5)) / grid
 
+    return df.withColumns({c: near(c) for c in doubles})
 
-def r(expression: str, places: int = 6) -> str:
+
+def r(expression: str, places: int = 4) -> str:
     """The SQL twin of ``rounded``."""
-    return f"(round(CAST({expression} AS DOUBLE), {places}) + 0.0)"
+    grid = f"CAST(1e{places} AS DOUBLE)"
+    scaled = f"CAST({expression} AS DOUBLE) * {grid} * CAST({_OFF_TIES} AS DOUBLE)"
+    return f"(floor({scaled} + CAST(0.5 AS DOUBLE)) / {grid})"
 
 
 def values(rows: list[tuple], columns: str) -> str:
@@ -70,33 +81,36 @@ MEASURES = [
 ]
 
 
+def cents(column: str):
+    """Hundredths as whole numbers, so that sums are exact in any order."""
+    return F.rint(F.col(column) * 100).cast("bigint")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One survey sample per order; a measure without line items is null.
 
     Line items are summed per order first: the partial sums shrink the shuffle, a hot
     order cannot fill a task, and the join then needs no second shuffle of that side.
     """
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    kept = 1 - F.col("l_discount").cast("decimal(4,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
+    price, kept, tax = cents("l_extendedprice"), 100 - cents("l_discount"), cents("l_tax")
 
-    def total(flag: str, value):
-        return F.sum(F.when(F.col("l_returnflag") == flag, value)).cast("double")
+    def total(flag: str, value, unit: float = 1.0):
+        return F.sum(F.when(F.col("l_returnflag") == flag, value)) / F.lit(unit)
 
     per_order = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
         .agg(
             total("A", F.col("l_quantity")).alias("GrainSampleArea"),
-            total("A", price).alias("GrainMassWet"),
-            total("A", price * kept).alias("GrainMassAirDry"),
+            total("A", price, 1e2).alias("GrainMassWet"),
+            total("A", price * kept, 1e4).alias("GrainMassAirDry"),
             total("R", F.col("l_quantity")).alias("BiomassSampleArea"),
-            total("R", price).alias("BiomassWet"),
-            total("R", price * kept).alias("BiomassAirDry"),
-            total("R", price * tax).alias("GrainMassWetInBiomassSample"),
-            total("R", price * tax * kept).alias("GrainMassAirDryInBiomassSample"),
-            total("N", price).alias("ResidueMassWetSubsample"),
-            total("N", price * kept).alias("ResidueMassAirDrySubsample"),
+            total("R", price, 1e2).alias("BiomassWet"),
+            total("R", price * kept, 1e4).alias("BiomassAirDry"),
+            total("R", price * tax, 1e4).alias("GrainMassWetInBiomassSample"),
+            total("R", price * tax * kept, 1e6).alias("GrainMassAirDryInBiomassSample"),
+            total("N", price, 1e2).alias("ResidueMassWetSubsample"),
+            total("N", price * kept, 1e4).alias("ResidueMassAirDrySubsample"),
         )
     )
     orders = table(spark, sf_dir, "orders").select(

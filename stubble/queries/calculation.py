@@ -113,10 +113,10 @@ def row_conservation(spark, sf_dir):
 @query(f"""WITH {S} SELECT HarvestYear, ID2,
   CASE WHEN BiomassWet IS NULL AND GrainMassWet IS NULL THEN NULL
     WHEN BiomassWet IS NULL THEN CASE WHEN Crop = '1-URGENT' THEN 2.0
-      WHEN Crop <> '1-URGENT' THEN 2.4384 ELSE 0.0 END ELSE 0.0 END AS GrainArea,
+      WHEN Crop <> '1-URGENT' THEN 2.4384 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS GrainArea,
   CASE WHEN BiomassWet IS NULL AND GrainMassWet IS NULL THEN NULL
     WHEN BiomassWet IS NOT NULL THEN CASE WHEN Crop = '1-URGENT' THEN 2.0
-      WHEN Crop <> '1-URGENT' THEN 2.4384 ELSE 0.0 END ELSE 0.0 END AS BiomassArea,
+      WHEN Crop <> '1-URGENT' THEN 2.4384 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS BiomassArea,
   CASE WHEN GrainSampleArea > 0 AND BiomassSampleArea > 0 THEN {r("GrainMassWet")} END AS TotalKept,
   CASE WHEN GrainSampleArea > 0 AND BiomassSampleArea > 0 THEN NULL
     ELSE {r("GrainMassWetInBiomassSample")} END AS PartKept
@@ -184,11 +184,11 @@ def condense_levels(spark, sf_dir):
 SELECT HarvestYear, ID2, CAST(ID2 AS VARCHAR) AS SampleID, c AS Crop,
   CASE WHEN BiomassAirDry IS NULL AND GrainMassAirDry IS NULL THEN NULL
     WHEN BiomassAirDry IS NOT NULL THEN 0.0 WHEN c = 'SC' THEN 2.0 WHEN c <> 'SC' THEN 2.4384
-    ELSE 0.0 END AS GrainSampleArea,
+    ELSE 0.0 END::DOUBLE AS GrainSampleArea,
   {r("GrainMassAirDry")} AS GrainMassAirDry,
   CASE WHEN BiomassAirDry IS NULL AND GrainMassAirDry IS NULL THEN NULL
     WHEN BiomassAirDry IS NULL THEN 0.0 WHEN c = 'SC' THEN 2.0 WHEN c <> 'SC' THEN 2.4384
-    ELSE 0.0 END AS BiomassSampleArea,
+    ELSE 0.0 END::DOUBLE AS BiomassSampleArea,
   {r("BiomassAirDry")} AS BiomassAirDry FROM f""")
 def harmonise_sheet(spark, sf_dir):
     sheet = samples(spark, sf_dir).select(

@@ -182,15 +182,15 @@ def group_regression(spark, sf_dir):
 
 @query(f"""WITH {_PAIRS}, {_FITS}, hb AS (SELECT * FROM {values(HI_BOUNDS, "t(hc, lo, hi)")}),
   h AS (SELECT *, CASE WHEN x + y <> 0 THEN x / (x + y) END AS idx FROM p),
-  m AS (SELECT *, coalesce(avg(idx) OVER (PARTITION BY HarvestYear, Crop),
-      avg(idx) OVER (PARTITION BY Crop)) AS hm FROM h),
-  l AS (SELECT *, CASE WHEN y IS NULL THEN b0 + b1 * x END AS lin FROM m
+  hm AS (SELECT *, coalesce(avg(idx) OVER (PARTITION BY HarvestYear, Crop),
+      avg(idx) OVER (PARTITION BY Crop)) AS himean FROM h),
+  l AS (SELECT *, CASE WHEN y IS NULL THEN b0 + b1 * x END AS lin FROM hm
     LEFT JOIN fits ON fy = HarvestYear AND fc = Crop LEFT JOIN hb ON hc = Crop),
   e AS (SELECT *, CASE WHEN x + lin <> 0 THEN x / (x + lin) END AS li FROM l),
   o AS (SELECT *, CASE WHEN li < lo OR li > hi OR (li IS NULL AND y IS NULL)
-    THEN x / nullif(hm, 0) - x END AS byhi FROM e)
+    THEN x / nullif(himean, 0) - x END AS byhi FROM e)
 SELECT HarvestYear, ID2, Crop, {r("x")} AS GrainYieldDryPerArea_P3,
-  {r("y")} AS ResidueMassDryPerArea_P2, {r("hm")} AS HarvestIndexAvg,
+  {r("y")} AS ResidueMassDryPerArea_P2, {r("himean")} AS HarvestIndexAvg,
   {r("coalesce(y, byhi, lin)")} AS ResidueMassDryPerArea_P3,
   CASE WHEN y IS NOT NULL THEN 2 WHEN coalesce(byhi, lin) IS NOT NULL THEN 3 END
     AS ResidueMassDryPerArea_P FROM o""")

@@ -139,7 +139,7 @@ def label_mismatches(spark, sf_dir):
 
 # Reference points: one per nation, on a grid of nation number and region.
 _POINTS = """p AS (SELECT n_nationkey AS "Column", CAST(n_regionkey AS VARCHAR) AS Row2,
-  n_nationkey * 1.5 AS X, n_regionkey * 2.5 AS Y, n_name AS Place FROM nation)"""
+  CAST(n_nationkey * 1.5 AS DOUBLE) AS X, CAST(n_regionkey * 2.5 AS DOUBLE) AS Y, n_name AS Place FROM nation)"""
 
 
 def points(spark, sf_dir):
