@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from stubble.functions import as_col
 
 
+def file_rank(order: list[str]) -> Column:
+    """Row order as one comparable value; a single column stays plain, which hashes faster."""
+    return as_col(order[0]) if len(order) == 1 else F.struct(*[as_col(o) for o in order])
+
+
 def first_non_null(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per group: each column's first non-null value in row order."""
-    rank = F.struct(*[as_col(o) for o in order])
+    rank = file_rank(order)
     rest = [c for c in df.columns if c not in keys and c not in order]
     return df.groupBy(*keys).agg(
         *[
@@ -33,7 +38,7 @@ def choose_replicates(
     and then to one small set of partial sums; no group is gathered or sorted.
     """
     data = [c for c in df.columns if c not in order]
-    rank = F.struct(*[as_col(o) for o in order])
+    rank = file_rank(order)
     flags = {f"__t{i}": F.coalesce(t, F.lit(False)) for i, t in enumerate(tiers)}
     distinct_rows = df.groupBy(*[as_col(c) for c in data]).agg(
         F.count("*").alias("__copies"), F.min(rank).alias("__first")

@@ -11,6 +11,7 @@ from stubble.operators.gapfill import (
     fill_yield,
     residue_fill_stats,
 )
+from stubble.operators.staging import staged
 from stubble.operators.stats import linear_fit, long_to_wide
 from stubble.queries.base import CALC, S, query, r, rounded, samples, table, values
 from stubble.queries.calculation import calculated
@@ -23,8 +24,9 @@ _GAPS = f"""{CALC}, q AS (SELECT HarvestYear, ID2, Crop, GrainYieldWet_P2 AS gw,
 
 
 def with_gaps(spark, sf_dir):
+    """Staged: the means and the fill both read it."""
     g, res = F.col("GrainYieldAirDry_P2"), F.col("ResidueMassAirDryPerArea_P2")
-    return calculated(spark, sf_dir).select(
+    gaps = calculated(spark, sf_dir).select(
         "HarvestYear",
         "ID2",
         "Crop",
@@ -33,6 +35,7 @@ def with_gaps(spark, sf_dir):
         "ResidueMassWetPerArea_P2",
         F.when(res <= 1500, res).alias("ResidueMassAirDryPerArea_P2"),
     )
+    return staged(gaps)
 
 
 @query(f"""WITH {_GAPS}, means AS (SELECT Crop AS mc,
@@ -73,7 +76,7 @@ def residue_dry_gapfill(spark, sf_dir):
         F.try_divide(wet - dry, wet).alias("ResidueMoistureProportion"),
     )
     return rounded(
-        fill_residue_dry(df).select(
+        fill_residue_dry(staged(df)).select(
             "ID2",
             "Crop",
             "AvgResidueMoistureProportionByCrop",
@@ -125,7 +128,7 @@ def tiered_mean_gapfill(spark, sf_dir):
     relative = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("Point"), (F.col("s_acctbal") / 10000.0).alias("RelativeYield")
     )
-    filled = fill_yield(df, relative, point="Point")
+    filled = fill_yield(staged(df), relative, point="Point")
     return rounded(
         filled.select(
             "HarvestYear",
@@ -196,7 +199,9 @@ SELECT HarvestYear, ID2, Crop, {r("x")} AS GrainYieldDryPerArea_P3,
     AS ResidueMassDryPerArea_P FROM o""")
 def regression_gapfill(spark, sf_dir):
     bounds = spark.createDataFrame(HI_BOUNDS, "Crop string, HIMin double, HIMax double")
-    filled = fill_residue_by_regression(pairs(spark, sf_dir), bounds, left_out=("5-LOW",))
+    filled = fill_residue_by_regression(
+        staged(pairs(spark, sf_dir)), bounds, left_out=("5-LOW",)
+    )
     return rounded(
         filled.select(
             "HarvestYear",

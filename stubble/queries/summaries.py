@@ -11,6 +11,7 @@ from stubble.operators.outliers import (
     remove_extremes,
 )
 from stubble.operators.quantiles import quantiles_with_iqr
+from stubble.operators.staging import staged
 from stubble.operators.stats import (
     box_summary,
     era_means,
@@ -83,7 +84,8 @@ def _quantile(p: float, v: str = "GrainYieldWet_P2") -> str:
   {r(f"{_quantile(0.75)} - {_quantile(0.25)}")} AS GrainYieldWet_P2_iqr
 FROM c WHERE GrainYieldWet_P2 IS NOT NULL GROUP BY HarvestYear, Crop""")
 def group_quantiles(spark, sf_dir):
-    return rounded(quantiles_with_iqr(calculated(spark, sf_dir), BY, "GrainYieldWet_P2"))
+    yields = staged(calculated(spark, sf_dir).select(*BY, "GrainYieldWet_P2"))
+    return rounded(quantiles_with_iqr(yields, BY, "GrainYieldWet_P2"))
 
 
 # Residue per area has a long tail when divided by small areas: real outliers.
@@ -100,9 +102,12 @@ _QUARTILE = "CASE WHEN v >= q3 THEN 4 WHEN v >= q2 THEN 3 WHEN v > q1 THEN 2 WHE
 
 
 def tailed(spark, sf_dir):
+    """Staged: the quantile passes read these few columns instead of the join behind them."""
     wet, res = F.col("GrainYieldWet_P2"), F.col("ResidueMassWetPerArea_P2")
-    return calculated(spark, sf_dir).select(
-        "HarvestYear", "ID2", "Crop", F.when(wet > 0, res * res / wet).alias("v")
+    return staged(
+        calculated(spark, sf_dir).select(
+            "HarvestYear", "ID2", "Crop", F.when(wet > 0, res * res / wet).alias("v")
+        )
     )
 
 
