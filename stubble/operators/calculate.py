@@ -8,6 +8,7 @@ read once instead of being split and put together again.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,15 +91,27 @@ ORDER = [
 CALCULATED = [c for c in ORDER if c.endswith("_P2")]
 
 
+def in_years(year, regimes: list[Regime]) -> Column:
+    """True for a year in one of the windows; null for a null year."""
+    tests = [as_col(year).between(x.first, x.last) for x in regimes]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def regime_of(year, regimes: list[Regime] = REGIMES) -> Column:
     """Rule set of a year; null outside every window."""
-    y = as_col(year)
-    expr = F.lit(None).cast("string")
-    for r in reversed(regimes):
-        expr = F.when(y.between(r.first, r.last), F.lit(r.rules)).otherwise(expr)
+    expr = F
+    for x in regimes:
+        expr = expr.when(as_col(year).between(x.first, x.last), F.lit(x.rules))
     return expr
 
 
+def has_no_mode(grain_area, biomass_area) -> Column:
+    """A negative area fits no sampling mode."""
+    return (F.coalesce(as_col(grain_area), F.lit(0.0)) < 0) | (
+        F.coalesce(as_col(biomass_area), F.lit(0.0)) < 0
+    )
+
+
 def sampling_mode(grain_area, biomass_area) -> Column:
     """grain, biomass, both or neither; null area counts as zero, negative as no mode."""
     g = F.coalesce(as_col(grain_area), F.lit(0.0))
@@ -126,86 +139,64 @@ def calculate(df: DataFrame, regimes: list[Regime] = REGIMES) -> DataFrame:
     Rows outside every year window, and rows of the first rule set that fit no sampling
     mode, take no part; ``checks.split_counts`` reports how many.
     """
+    grain_area, bio_area = F.col("GrainSampleArea_P1"), F.col("BiomassSampleArea_P1")
+    early = [x for x in regimes if x.rules == "by_mode"]
+    df = df.where(in_years("HarvestYear", regimes)).where(
+        ~(in_years("HarvestYear", early) & has_no_mode(grain_area, bio_area))
+    )
     df = with_regime_and_mode(df, regimes)
-    by_mode = F.col("Regime") == "by_mode"
-    df = df.where(F.col("Regime").isNotNull() & (~by_mode | F.col("SamplingMode").isNotNull()))
-
-    # Flags are columns of their own: each is computed once per row and the branches below
-    # stay small.
-    mode = {m: F.col("SamplingMode") == m for m in ("grain", "biomass", "both")}
-    flags = {f"__{m}": F.coalesce(test, F.lit(False)) for m, test in mode.items()}
-    flags |= {f"__early_{m}": by_mode & F.coalesce(test, F.lit(False)) for m, test in mode.items()}
-    flags |= {
-        "__by_mode": by_mode,
-        "__subsample": F.col("Regime") == "subsample",
-        "__wet_only": F.col("Regime") == "wet_only",
-        "__air_dry": F.col("Regime") == "air_dry_only",
+    regime, mode = F.col("Regime"), F.col("SamplingMode")
+    by_mode = regime == "by_mode"
+
+    # Conditions and areas shared by several measures are columns of their own: computed
+    # once per row, and the generated code stays small enough to be compiled.
+    early_both = by_mode & (mode == "both")
+    steps = {
+        "__both": F.coalesce(early_both, F.lit(False)),
+        "__residue": F.coalesce(by_mode & mode.isin("biomass", "both"), F.lit(False)),
+        "__moisture": (by_mode & (mode != "neither")) | (regime == "subsample"),
+        "__area": F.when(mode == "grain", grain_area)
+        .when(mode == "biomass", bio_area)
+        .when(early_both, grain_area + bio_area),
+        # Grain masses of an early single-sample row are those of the sample taken.
+        "GrainMassWet_P1": _taken(by_mode, mode, "GrainMassWet", "GrainMassWet_P1"),
+        "GrainMassAirDry_P1": _taken(by_mode, mode, "GrainMassAirDry", "GrainMassAirDry_P1"),
     }
-    df = df.withColumns(flags)
-    by_mode, subsample, wet_only, air_dry = (
-        F.col(c) for c in ("__by_mode", "__subsample", "__wet_only", "__air_dry")
-    )
-    only_grain, only_biomass, both = (F.col(c) for c in ("__grain", "__biomass", "__both"))
-    early_grain, early_biomass, early_both = (
-        F.col(c) for c in ("__early_grain", "__early_biomass", "__early_both")
-    )
-
-    # Grain masses of a single-sample row are those of the sample that was taken.
+    df = df.withColumns(steps)
+    both, residue, moist = F.col("__both"), F.col("__residue"), F.col("__moisture")
+    wet, dry, area = F.col("GrainMassWet_P1"), F.col("GrainMassAirDry_P1"), F.col("__area")
+    in_biomass = F.col("GrainMassWetInBiomassSample_P1")
     df = df.withColumns(
         {
-            "GrainMassWet_P1": F.when(early_grain, F.col("GrainMassWetInGrainSample_P1"))
-            .when(early_biomass, F.col("GrainMassWetInBiomassSample_P1"))
-            .otherwise(F.col("GrainMassWet_P1")),
-            "GrainMassAirDry_P1": F.when(early_grain, F.col("GrainMassAirDryInGrainSample_P1"))
-            .when(early_biomass, F.col("GrainMassAirDryInBiomassSample_P1"))
-            .otherwise(F.col("GrainMassAirDry_P1")),
-        }
-    )
-    wet, dry = F.col("GrainMassWet_P1"), F.col("GrainMassAirDry_P1")
-    grain_area, bio_area = F.col("GrainSampleArea_P1"), F.col("BiomassSampleArea_P1")
-    has_residue = early_biomass | early_both
-
-    def per_area(mass: Column, early_rule_holds: Column, late_rule_holds: Column) -> Column:
-        one_area = F.when(only_grain, grain_area).when(only_biomass, bio_area)
-        return F.when(early_rule_holds & both, mass / (grain_area + bio_area)).when(
-            early_rule_holds | late_rule_holds, mass / one_area
-        )
-
-    df = df.withColumns(
-        {
-            "GrainMoistureProportionPartial_P2": F.when(
-                early_grain | early_biomass | early_both | subsample, moisture_share(wet, dry)
-            ),
+            "GrainYieldWet_P2": F.when(regime != "air_dry_only", wet / area),
+            "GrainYieldAirDry_P2": F.when(regime != "wet_only", dry / area),
+            "GrainMoistureProportionPartial_P2": F.when(moist, moisture_share(wet, dry)),
             "ResidueMoistureProportionPartialSubsample_P2": F.when(
-                has_residue | subsample,
+                residue | (regime == "subsample"),
                 moisture_share("ResidueMassWetSubsample_P1", "ResidueMassAirDrySubsample_P1"),
             ),
-            "GrainMassWetInGrainSample_P2": F.when(
-                early_both, residue_by_difference(wet, "GrainMassWetInBiomassSample_P1")
-            ),
+            "GrainMassWetInGrainSample_P2": F.when(both, residue_by_difference(wet, in_biomass)),
             "ResidueMassWet_P2": F.when(
-                has_residue,
-                residue_by_difference(
-                    "BiomassWet_P1", "GrainMassWetInBiomassSample_P1", guarded=True
-                ),
-            ).when(subsample | wet_only, residue_by_difference("BiomassWet_P1", wet)),
-            "GrainYieldWet_P2": per_area(wet, by_mode, subsample | wet_only),
-            "GrainYieldAirDry_P2": per_area(dry, by_mode, subsample | air_dry),
+                residue, residue_by_difference("BiomassWet_P1", in_biomass, guarded=True)
+            ).when(
+                regime.isin("subsample", "wet_only"), residue_by_difference("BiomassWet_P1", wet)
+            ),
         }
     )
-    moisture = F.col("GrainMoistureProportionPartial_P2")
+    grain_moisture = F.col("GrainMoistureProportionPartial_P2")
     df = df.withColumns(
         {
-            "GrainMassAirDryInGrainSample_P2": F.when(
-                early_both, dry_from_wet("GrainMassWetInGrainSample_P2", moisture)
+            "GrainMassAirDryInGrainSample_P2": dry_from_wet(
+                "GrainMassWetInGrainSample_P2", grain_moisture
             ),
             "GrainMassAirDryInBiomassSample_P2": F.when(
-                early_both, dry_from_wet("GrainMassWetInBiomassSample_P1", moisture)
+                both, dry_from_wet(in_biomass, grain_moisture)
             ),
             "ResidueMassAirDry_P2": F.when(
-                has_residue | subsample,
-                dry_from_wet("ResidueMassWet_P2", "ResidueMoistureProportionPartialSubsample_P2"),
-            ).when(air_dry, residue_by_difference("BiomassAirDry_P1", dry)),
+                regime == "air_dry_only", residue_by_difference("BiomassAirDry_P1", dry)
+            ).otherwise(
+                dry_from_wet("ResidueMassWet_P2", "ResidueMoistureProportionPartialSubsample_P2")
+            ),
         }
     )
     return df.withColumns(
@@ -213,7 +204,15 @@ def calculate(df: DataFrame, regimes: list[Regime] = REGIMES) -> DataFrame:
             "ResidueMassWetPerArea_P2": guarded_ratio("ResidueMassWet_P2", bio_area),
             "ResidueMassAirDryPerArea_P2": guarded_ratio("ResidueMassAirDry_P2", bio_area),
         }
-    ).drop(*flags)
+    ).drop("__both", "__residue", "__moisture", "__area")
+
+
+def _taken(by_mode: Column, mode: Column, measure: str, total: str) -> Column:
+    return (
+        F.when(by_mode & (mode == "grain"), as_col(f"{measure}InGrainSample_P1"))
+        .when(by_mode & (mode == "biomass"), as_col(f"{measure}InBiomassSample_P1"))
+        .otherwise(as_col(total))
+    )
 
 
 def ordered(df: DataFrame) -> DataFrame:
