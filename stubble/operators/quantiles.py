@@ -6,9 +6,12 @@ buffer, which a hot group outgrows. Here a group is never gathered:
 1. every value falls into an ordered bucket, a fixed function of the value alone, and
    rows are counted per (group, bucket) with partial aggregation before the shuffle;
 2. running totals over the buckets of a group tell which buckets hold the wanted ranks;
-3. only rows of those few buckets are counted per distinct value and ranked.
+3. a wanted bucket that still holds many rows of different values is cut into finer
+   cells the same way, until none does;
+4. only rows of the wanted cells are counted per distinct value and ranked.
 
-The bucket is a function of the value, so a recomputed task gives the same answer.
+Buckets and cells are functions of the value, so a recomputed task gives the same answer.
+The input is read at least twice: stage it first when it is costly to compute.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from stubble.operators.staging import staged
 
 # Buckets per power of two: a bucket spans a relative width of 1/8192.
 RESOLUTION = 8192
+# Most rows of different values that one task sorts.
+CELL_ROWS = 5_000_000
 
 
 def order_bucket(value, resolution: int = RESOLUTION) -> Column:
@@ -41,6 +46,7 @@ def exact_quantiles(
     columns: list[str],
     probs: list[float],
     resolution: int = RESOLUTION,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one row per group.
 
@@ -72,23 +78,43 @@ def exact_quantiles(
     def ranks_between(first: Column, after_last: Column) -> Column:
         return F.filter(spots, lambda r: (r >= first) & (r < after_last))
 
-    per_group = Window.partitionBy(*group)
-    so_far = per_group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = (
+    def wanted(counted: DataFrame, parent: list[str], order: str, base: Column) -> DataFrame:
+        """Cells that hold a wanted rank; ``__from`` is the rank of a cell's first row."""
+        before = Window.partitionBy(*parent).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        first = base + F.coalesce(F.sum("__c").over(before), F.lit(0))
+        return (
+            counted.withColumn("__from", first)
+            .where(F.size(ranks_between(F.col("__from"), F.col("__from") + F.col("__c"))) > 0)
+            .select(*group, "__b", "__n", "__from", "__c", "__lo", "__hi")
+        )
+
+    tally = [F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
+    buckets = (
         long.groupBy(*group, "__b")
-        .agg(F.count("*").alias("__c"))
-        .withColumn("__n", F.sum("__c").over(per_group))
-        .withColumn("__upto", F.sum("__c").over(so_far))
-        .withColumn("__from", F.col("__upto") - F.col("__c"))
-        .where(F.size(ranks_between(F.col("__from"), F.col("__upto"))) > 0)
-        .select(*group, "__b", "__n", "__from")
+        .agg(*tally)
+        .withColumn("__n", F.sum("__c").over(Window.partitionBy(*group)))
     )
-    in_bucket = Window.partitionBy(*group, "__b").orderBy("__v")
+    cells = staged(wanted(buckets, group, "__b", F.lit(0)))
+    while _crowded(cells, cell_rows):
+        at = F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * resolution)
+        parent = [*group, "__b", "__n", "__from"]
+        finer = (
+            _rows_of(long, cells, group)
+            .withColumn("__cut", F.when(F.col("__hi") > F.col("__lo"), at).otherwise(F.lit(0)))
+            .groupBy(*parent, "__cut")
+            .agg(*tally)
+            .withColumnRenamed("__from", "__base")
+        )
+        parent[-1] = "__base"
+        cells = staged(wanted(finer, parent, "__cut", F.col("__base")))
+    in_cell = Window.partitionBy(*group, "__from").orderBy("__v")
     ranked = (
-        attach(long, staged(wanted), [*group, "__b"], "inner")
-        .groupBy(*group, "__b", "__v")
-        .agg(F.count("*").alias("__c"), F.max("__n").alias("__n"), F.max("__from").alias("__from"))
-        .withColumn("__upto", F.col("__from") + F.sum("__c").over(in_bucket))
+        _rows_of(long, cells, group)
+        .groupBy(*group, "__from", "__v")
+        .agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
+        .withColumn("__upto", F.col("__from") + F.sum("__c").over(in_cell))
         .withColumn(
             "__rank", F.explode(ranks_between(F.col("__upto") - F.col("__c"), F.col("__upto")))
         )
@@ -120,6 +146,17 @@ def exact_quantiles(
     return per_key.select(*out)
 
 
+def _crowded(cells: DataFrame, most: int) -> bool:
+    """Does a wanted cell hold many rows of different values?"""
+    return not cells.where((F.col("__c") > most) & (F.col("__lo") < F.col("__hi"))).isEmpty()
+
+
+def _rows_of(long: DataFrame, cells: DataFrame, group: list[str]) -> DataFrame:
+    """The values that lie in the wanted cells, each with its cell."""
+    inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
+    return attach(long, cells.drop("__c"), [*group, "__b"], "inner").where(inside)
+
+
 def quantile_name(column: str, p: float) -> str:
     return f"{column}_q{100 * p:g}"
 

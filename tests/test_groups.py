@@ -38,8 +38,8 @@ def type7(values, p):
     return v[lo] + (v[hi] - v[lo]) * (h - lo)
 
 
-@pytest.mark.parametrize("resolution", [1, 64, 8192])
-def test_exact_quantiles_match_brute_force(spark, resolution):
+@pytest.mark.parametrize("resolution, cell_rows", [(8192, 5_000_000), (64, 5), (4, 50)])
+def test_exact_quantiles_match_brute_force(spark, resolution, cell_rows):
     rng = random.Random(7)
     special = [0.0, -0.0, 5.0, -3.0, 8.0, 1e12, -1e-9, 1e-300, 7.999999999999999, None]
     groups = {
@@ -54,7 +54,7 @@ def test_exact_quantiles_match_brute_force(spark, resolution):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    got = {r["k"]: r for r in exact_quantiles(df, ["k"], ["v"], probs, resolution).collect()}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], ["v"], probs, resolution, cell_rows).collect()}
     assert set(got) == {"hot", "mixed", None, "single"}
     for k, r in got.items():
         present = [v for v in groups[k] if v is not None]
