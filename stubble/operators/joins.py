@@ -67,6 +67,7 @@ def full_attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
     Inner join plus both anti joins: adaptive execution can split hot keys in all
     three, which it cannot in a full outer join. Only distinct keys cross the anti joins.
+    Both sides are read three times: stage one that is costly to compute.
     """
     inner = attach(left, right, keys, "inner")
     left_only = attach(left, right.select(*keys).distinct(), keys, "left_anti")

@@ -43,6 +43,7 @@ from stubble.operators.joins import (
 )
 from stubble.operators.replicates import choose_replicates, first_non_null
 from stubble.operators.sets import union_diagonal
+from stubble.operators.staging import staged
 from stubble.sources.tables import SAMPLE_COLUMNS
 
 # Spelled-out crop names and their codes.
@@ -405,8 +406,8 @@ def harvest_2010(grain: DataFrame, residue: DataFrame, points: DataFrame) -> Dat
             as_col("Sub Res Dry (g)").alias("ResidueMassAirDrySubsample"),
         )
     )
-    located = locate(grain, points, "Row", "Column")
-    joined = full_attach(located.withColumnRenamed(barcode, "Barcode"), slim.withColumnRenamed(barcode, "Barcode"), ["Barcode"])
+    located = staged(locate(grain, points, "Row", "Column").withColumnRenamed(barcode, "Barcode"))
+    joined = full_attach(located, slim.withColumnRenamed(barcode, "Barcode"), ["Barcode"])
     return harmonise(joined.withColumnRenamed("Barcode", barcode), HARVEST_2010)
 
 

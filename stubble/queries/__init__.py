@@ -3,6 +3,7 @@
 from stubble.queries import (  # noqa: F401  (importing registers the queries)
     calculation,
     filling,
+    harvesting,
     joining,
     quality,
     replicating,
