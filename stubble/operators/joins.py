@@ -62,13 +62,23 @@ def attach_points_inner(
     return located.withColumnsRenamed({lon: "Longitude", lat: "Latitude"})
 
 
-def full_attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def full_attach(
+    left: DataFrame, right: DataFrame, keys: list[str], unique: bool = False
+) -> DataFrame:
     """Full outer join of two large tables with complementary columns.
 
-    Inner join plus both anti joins: adaptive execution can split hot keys in all
-    three, which it cannot in a full outer join. Only distinct keys cross the anti joins.
-    Both sides are read three times: stage one that is costly to compute.
+    Keys that are ``unique`` on both sides (as after a groupBy) cannot be hot, so one full
+    outer join is best. Otherwise it is an inner join plus both anti joins: adaptive
+    execution can split hot keys in all three, which it cannot in a full outer join. Only
+    distinct keys cross the anti joins. Both sides are then read three times: stage one
+    that is costly to compute.
     """
+    if unique:
+        theirs = right.withColumnsRenamed({k: f"__key_{i}" for i, k in enumerate(keys)})
+        on = [as_col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+        both = left.join(theirs, on, "full")
+        filled = {k: F.coalesce(as_col(k), F.col(f"__key_{i}")) for i, k in enumerate(keys)}
+        return both.withColumns(filled).drop(*[f"__key_{i}" for i in range(len(keys))])
     inner = attach(left, right, keys, "inner")
     left_only = attach(left, right.select(*keys).distinct(), keys, "left_anti")
     right_only = attach(right, left.select(*keys).distinct(), keys, "left_anti")

@@ -199,7 +199,7 @@ def full_attach_masses(spark, sf_dir):
             .agg(F.sum("l_quantity").alias(name))
         )
 
-    return rounded(full_attach(mass("A", "Grain"), mass("R", "Residue"), ["Barcode"]))
+    return rounded(full_attach(mass("A", "Grain"), mass("R", "Residue"), ["Barcode"], unique=True))
 
 
 @query(f"""SELECT o_orderkey AS ID, o_custkey AS Barcode, {r("o_totalprice")} AS Value_x,

@@ -65,6 +65,7 @@ def test_points_inner(spark):
 def test_full_attach_keeps_both_sides(spark):
     a = spark.createDataFrame([("k", 1), ("l", 2), (None, 3)], "b string, x int")
     b = spark.createDataFrame([("k", 4), ("m", 5), (None, 6)], "b string, y int")
+    assert rows(full_attach(a, b, ["b"], unique=True)) == rows(full_attach(a, b, ["b"]))
     assert rows(full_attach(a, b, ["b"])) == [(None, 3, 6), ("k", 1, 4), ("l", 2, None), ("m", None, 5)]
 
 
