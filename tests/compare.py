@@ -55,3 +55,7 @@ def compare(df, sql: str, con) -> str | None:
     if wrong:
         return f"{len(wrong)} of {len(mine)} rows differ, first {wrong[0]} (columns {sorted(names)})"
     return None
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()

@@ -1,27 +1,12 @@
-"""Plans: what no query may contain, and what scans must prune."""
-
-import pytest
+"""Plans: what scans must prune and which side must not be shuffled."""
 
 import __spark_entry__ as entry_point
 from stubble.queries.base import samples
+from tests.compare import plan_of
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
-def test_no_cross_join_python_or_single_partition(spark, name):
-    plan = plan_of(entry_point.queries()[name](spark, SF_DIR))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapPartitions"):
-        assert node not in plan
-    # One partition is only right for a total over the whole table or a short head.
-    if "SinglePartition" in plan:
-        assert name in {"row_conservation", "column_pairs", "two_files_agree"}
-
-
 def test_scans_read_only_what_is_used(spark):
     plan = plan_of(samples(spark, SF_DIR).select("ID2", "BiomassSampleArea"))
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in plan
