@@ -179,8 +179,8 @@ def test_2014(spark, points):
     assert (row["Comments"], row["BiomassSampleArea"], row["HarvestYear"]) == ("n | NA | NA", 2.0, 2014)
 
     ww = h.coded_sample(frame(spark, [
-        {"SampleID": "CF_8_1-A", "GrainMassAirDry": 7.0, "BiomassAirDry": None, "Comments": None, "o": 1.0},
-        {"SampleID": "CF_8_1-A_RES", "GrainMassAirDry": None, "BiomassAirDry": 20.0, "Comments": "r", "o": 2.0},
+        {"SampleID": "AB_8_1-A", "GrainMassAirDry": 7.0, "BiomassAirDry": None, "Comments": None, "o": 1.0},
+        {"SampleID": "AB_8_1-A_RES", "GrainMassAirDry": None, "BiomassAirDry": 20.0, "Comments": "r", "o": 2.0},
     ], {"BiomassAirDry": "double", "Comments": "string"}))
     assert [tuple(r) for r in ww.select("Column", "Row2").distinct().collect()] == [(1, "A")]
     sw = h.built_sample(spark.createDataFrame([("B", 2, "S", 1.0, 2.0, "c", 3.0)], "Row2 string, Column int, Sample string, GrainMassAirDry double, BiomassAirDry double, Comments string, o double"))
@@ -188,7 +188,7 @@ def test_2014(spark, points):
     got = h.harvest_2014({"WW": ww, "SW": sw}, chosen, points, ["o"]).collect()
     assert len(got) == 1, "only points with a chosen replicate"
     row = got[0]
-    assert (row["SampleID"], row["Crop"], row["GrainMassAirDry"], row["BiomassAirDry"], row["GrainProtein"]) == ("CF_8_1-A", "WW", 7.0, 20.0, 12.0)
+    assert (row["SampleID"], row["Crop"], row["GrainMassAirDry"], row["BiomassAirDry"], row["GrainProtein"]) == ("AB_8_1-A", "WW", 7.0, 20.0, 12.0)
     assert row["Comments"] == "n | NA | NA | r" and row["BiomassSampleArea"] == 2.0
 
 
