@@ -152,8 +152,8 @@ def calculate(df: DataFrame, regimes: list[Regime] = REGIMES) -> DataFrame:
     # once per row, and the generated code stays small enough to be compiled.
     early_both = by_mode & (mode == "both")
     steps = {
-        "__both": F.coalesce(early_both, F.lit(False)),
-        "__residue": F.coalesce(by_mode & mode.isin("biomass", "both"), F.lit(False)),
+        "__both": early_both,
+        "__residue": by_mode & mode.isin("biomass", "both"),
         "__moisture": (by_mode & (mode != "neither")) | (regime == "subsample"),
         "__area": F.when(mode == "grain", grain_area)
         .when(mode == "biomass", bio_area)
