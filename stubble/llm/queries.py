@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stubble.llm import quality_rules, sharding, url_rules
+from stubble.llm import bpe_stream, quality_rules, sharding, token_counts, url_rules
 from stubble.llm.common import read
 from stubble.llm.registry import ORACLES, QUERIES, query
 
@@ -98,3 +99,20 @@ def quality_decisions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     features = quality_rules.staged(quality_rules.measured(docs).drop("text"))
     cutoffs = quality_rules.certified_cutoffs(features, labels, "lang")
     return quality_rules.with_verdict(features, cutoffs, "lang")
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, and whether they exceed 2048."""
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text"
+    )
+    counted = token_counts.with_token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query()
+def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of the text decoded from them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_stream.with_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
