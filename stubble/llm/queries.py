@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stubble.llm import bpe_stream, quality_rules, sharding, token_counts, url_rules
+from stubble.llm import bpe_stream, packing, quality_rules, sharding, token_counts, url_rules
 from stubble.llm.common import read
 from stubble.llm.registry import ORACLES, QUERIES, query
 
@@ -116,3 +116,10 @@ def op9_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_stream.with_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
