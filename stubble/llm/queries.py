@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stubble.llm import bpe_stream, packing, quality_rules, sharding, token_counts, url_rules
+from stubble.llm import bpe_stream, ngram_join, packing, quality_rules, sharding, token_counts, url_rules
 from stubble.llm.common import read
 from stubble.llm.registry import ORACLES, QUERIES, query
 
@@ -123,3 +123,10 @@ def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and similarity component of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.similarity_components(docs)
