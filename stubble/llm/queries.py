@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stubble.llm import bpe_stream, ngram_join, packing, quality_rules, sharding, token_counts, url_rules
+from stubble.llm import bpe_stream, lattice_dedup, ngram_join, packing, quality_rules, sharding, token_counts, url_rules
 from stubble.llm.common import read
 from stubble.llm.registry import ORACLES, QUERIES, query
 
@@ -130,3 +130,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and similarity component of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.similarity_components(docs)
+
+
+@query()
+def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding at a cosine of 0.9 or more."""
+    return lattice_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
