@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stubble.llm import bpe
+from stubble.llm.common import with_fields
 
 
 @functools.lru_cache(maxsize=4)
@@ -198,9 +199,7 @@ def with_digests(df: DataFrame, path: str, text: str = "text", window: int = 102
 
 def _mapped(df: DataFrame, text: str, added: dict[str, str], work) -> DataFrame:
     kept = [c for c in df.columns if c != text]
-    schema = type(df.schema)([f for f in df.schema.fields if f.name != text])
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
+    schema = with_fields(df, text, ", ".join(f"{name} {kind}" for name, kind in added.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

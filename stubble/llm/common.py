@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stubble.operators.staging import staged
 
@@ -28,6 +29,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_fields(df: DataFrame, without: str | None, ddl: str) -> StructType:
+    """The schema of ``df`` without one column and with the columns of ``ddl`` behind."""
+    kept = [f for f in df.schema.fields if f.name != without]
+    return StructType([*kept, *StructType.fromDDL(ddl).fields])
+
+
 def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A parameter list (rules, quotas) as a table."""
     return spark.createDataFrame(rows, schema)

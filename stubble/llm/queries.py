@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stubble.llm import bpe_stream, lattice_dedup, ngram_join, packing, quality_rules, sharding, token_counts, url_rules
+from stubble.llm import (
+    bpe_stream,
+    lattice_dedup,
+    license_scan,
+    ngram_join,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    token_counts,
+    url_rules,
+)
 from stubble.llm.common import read
 from stubble.llm.registry import ORACLES, QUERIES, query
 
@@ -136,3 +147,29 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding at a cosine of 0.9 or more."""
     return lattice_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_model.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and confidence of every document."""
+    found = license_scan.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.transform("places", lambda p: p["label"])
+    words = F.transform("places", lambda p: p["word"])
+    named = F.transform("detections", lambda d: d["label"])
+    doubt = F.aggregate("detections", F.lit(1.0), lambda a, d: a * (1.0 - d["weight"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, named)), ",").alias("labels"),
+        (1.0 - doubt).alias("score"),
+    )

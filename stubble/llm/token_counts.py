@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stubble.llm import bpe
+from stubble.llm.common import with_fields
 
 _MEMORY: dict[str, bpe.ChunkMemory] = {}
 
@@ -49,8 +50,7 @@ def count_tokens(path: str, texts: list[bytes]) -> list[int]:
 def with_token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """The rows of ``df`` without the text, with the count of its tokens."""
     kept = [c for c in df.columns if c != text]
-    fields = [f for f in df.schema.fields if f.name != text]
-    schema = type(df.schema)(fields).add(name, "long")
+    schema = with_fields(df, text, f"`{name}` long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
