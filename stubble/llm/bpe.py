@@ -24,6 +24,7 @@ REMEMBERED = 1_000_000
 BLOCK_BYTES = 4_000_000
 #: Letters whose composed form and lower case are one character, then marks but no apostrophe.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]+)?")
+_SPACE = re.compile(r"\s")
 #: What a file must say for ``_PLAIN`` chunks to be a lower-cased word and a run of marks.
 _PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -138,11 +139,10 @@ class Bpe:
     def _library_pieces(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
         normal = self.library.normalizer
         if normal is not None:
-            whole = normal.normalize_str(" ".join(texts))
-            parts = whole.split(" ")
-            if len(parts) != len(texts):  # white space beyond ASCII within a chunk
-                parts = [normal.normalize_str(t) for t in texts]
-            texts = parts
+            if any(map(_SPACE.search, texts)):  # white space beyond ASCII within a chunk
+                texts = [normal.normalize_str(t) for t in texts]
+            else:
+                texts = normal.normalize_str(" ".join(texts)).split(" ")
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
         found = self.library.pre_tokenizer.pre_tokenize_str(" ".join(texts))
         pieces = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in found]
