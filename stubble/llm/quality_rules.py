@@ -171,8 +171,7 @@ def certified_cutoffs(
             *[F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in rules for c in CUTOFFS],
         )
     )
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    level = F.lit(delta) / (F.col("strata") * len(rules))
+    level = delta / (max(1, counts.count()) * len(rules))
     cells = F.inline(
         F.array(
             *[
@@ -182,10 +181,8 @@ def certified_cutoffs(
             ]
         )
     )
-    tests = counts.join(strata.withColumn("__one", F.lit(1)), F.lit(1) == F.col("__one")).select(
-        "stratum", "n", "strata", cells
-    )
-    sure = tests.where(binomial_tail(F.col("n"), F.col("k"), risk / len(rules)) <= level)
+    tests = counts.select("stratum", "n", cells)
+    sure = tests.where(binomial_tail(F.col("n"), F.col("k"), risk / len(rules)) <= F.lit(level))
     chosen = sure.groupBy("stratum").agg(
         *[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules]
     )
