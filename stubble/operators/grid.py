@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stubble.operators.joins import attach_points_inner
 from stubble.operators.sets import append_strict
+from stubble.operators.staging import staged
 
 
 def complete_grid(
@@ -14,23 +15,25 @@ def complete_grid(
     year: str,
     point: str,
     base_year,
-    max_years: int = 10_000,
 ) -> DataFrame:
     """Missing (year, point) pairs for every point seen in the base year.
 
     Each point's seen years are gathered (at most one entry per year) and only the
     years it lacks are emitted; present pairs are never produced. Null years and null
-    points take no part.
+    points take no part. The list of all years is one staged row that is joined to the
+    points.
     """
     seen_rows = df.select(year, point).where(F.col(year).isNotNull() & F.col(point).isNotNull())
-    years = [r[0] for r in seen_rows.select(year).distinct().limit(max_years + 1).collect()]
-    if len(years) > max_years:
-        raise ValueError(f"more than {max_years} distinct values of {year}")
     dtype = df.schema[year].dataType
-    all_years = F.array(*[F.lit(y).cast(dtype) for y in sorted(years)]).cast(f"array<{dtype.simpleString()}>")
+    years = seen_rows.groupBy(year).agg(F.lit(1).alias("__one"))
+    all_years = staged(years.groupBy("__one").agg(F.collect_set(year).alias("__all")))
     seen = seen_rows.groupBy(point).agg(F.collect_set(year).alias("__seen"))
-    return seen.where(F.array_contains("__seen", F.lit(base_year).cast(dtype))).select(
-        F.explode(F.array_except(all_years, F.col("__seen"))).alias(year), point
+    # Every point was seen in some year, so all meet the one row.
+    based = seen.where(F.array_contains("__seen", F.lit(base_year).cast(dtype))).withColumn(
+        "__one", F.least(F.size("__seen"), F.lit(1))
+    )
+    return based.join(all_years, "__one").select(
+        F.explode(F.array_except("__all", "__seen")).alias(year), point
     )
 
 
