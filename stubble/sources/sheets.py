@@ -41,13 +41,19 @@ class Sheet:
 
 
 def numbered_lines(spark: SparkSession, paths) -> DataFrame:
-    """``path, name, line, value`` for every line of every file."""
-    raw = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("name"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
+    """``path, name, line, value`` for every line of every file.
+
+    How files are split depends on the cluster at that moment, so the files are read once
+    into a staged table, and offsets and lines are both made from that.
+    """
+    raw = staged(
+        spark.read.text(paths).select(
+            "value",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("name"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"),
+        )
     )
     blocks = raw.groupBy("path", "block").agg(
         F.min("at").alias("__start"), F.count("*").alias("__lines")
@@ -99,12 +105,18 @@ def read_sheet(spark: SparkSession, paths, sheet: Sheet) -> DataFrame:
 
 
 def _header(lines: DataFrame, sheet: Sheet) -> list[str]:
-    """Column names from the header line of one file; repeated names get their position."""
-    found = lines.where(F.col("line") == sheet.header).orderBy("path").limit(1).collect()
+    """Column names from the header line; repeated names get their position.
+
+    Files that are read together must have one header.
+    """
+    found = lines.where(F.col("line") == sheet.header).select("value").distinct().collect()
     if not found:
         raise ValueError(f"no header in line {sheet.header}")
-    cells = next(csv.reader([found[0]["value"]], delimiter=sheet.separator))
-    cells = [c.strip().lstrip("﻿") for c in cells]
+    read = [next(csv.reader([r["value"]], delimiter=sheet.separator), []) for r in found]
+    headers = [[c.strip().lstrip("﻿") for c in cells] for cells in read]
+    cells = headers[0]
+    if any(other != cells for other in headers[1:]):
+        raise ValueError(f"files with different headers: {headers[:2]}")
     return [
         c if c and cells.count(c) == 1 else f"{c}...{i}" for i, c in enumerate(cells, start=1)
     ]
