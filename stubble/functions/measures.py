@@ -142,11 +142,6 @@ def outside(value, low, high, flag_nulls: bool = False) -> Column:
     return F.coalesce((v < as_col(low)) | (v > as_col(high)), F.lit(flag_nulls))
 
 
-def not_nan(value) -> Column:
-    v = as_col(value)
-    return F.nanvl(v, F.lit(None).cast("double"))
-
-
 def half_even(value, places: int = 1) -> Column:
     return F.bround(as_col(value), places)
 

@@ -114,8 +114,16 @@ def apply_corrections(
 ) -> DataFrame:
     """Set cells by key: ``corrections`` holds keys, ``Variable`` and ``NewVal``.
 
-    A null ``NewVal`` empties the cell. One row per (key, variable).
+    A null ``NewVal`` empties the cell. Raises on a variable that is no target and on two
+    corrections of one cell.
     """
+    target = F.coalesce(F.col("Variable").isin(targets), F.lit(False))
+    unknown = corrections.where(~target).select("Variable").distinct().limit(5).collect()
+    if unknown:
+        raise ValueError(f"corrected variables that are no targets: {[r[0] for r in unknown]}")
+    twice = corrections.groupBy(*keys, "Variable").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"more than one correction of a cell: {[tuple(r) for r in twice]}")
     per_key = corrections.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("Variable") == t, F.struct(F.lit(True).alias("hit"), F.col("NewVal").alias("val")))).alias(f"__new_{t}")

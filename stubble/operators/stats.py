@@ -159,8 +159,11 @@ def linear_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def long_to_wide(
     df: DataFrame, keys: list[str], name: str, value: str, names: list[str]
 ) -> DataFrame:
-    """One column per listed name."""
-    return df.groupBy(*keys).pivot(name, names).agg(F.first(value))
+    """One column per listed name; running it raises where a name has several values."""
+    kind = df.schema[value].dataType
+    several = F.raise_error(F.lit(f"several values of one {name}")).cast(kind)
+    only = F.when(F.count(value) > 1, several).otherwise(F.max(value))
+    return df.groupBy(*keys).pivot(name, names).agg(only)
 
 
 def box_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -189,10 +192,11 @@ def box_summary(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 def histogram(df: DataFrame, keys: list[str], column: str, bins: int = 30) -> DataFrame:
     """Counts in equal-width bins between the group's extremes.
 
-    The maximum falls in the last bin; a group of one value has a single bin 1.
+    The maximum falls in the last bin; a group of one value has a single bin 1. The values
+    are read twice, so they are staged first.
     """
     v = as_col(column).cast("double")
-    rows = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull())
+    rows = staged(df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull()))
     ends = rows.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     lo, hi, x = F.col("__lo"), F.col("__hi"), F.col("__v")
     at = F.floor((x - lo) / (hi - lo) * bins) + 1

@@ -151,7 +151,7 @@ def test_checks(spark):
     a = spark.createDataFrame([(1, 2000, 5.0, 5.0, "7"), (2, 2000, 6.0, None, "x"), (3, 2001, 1.0, 2.0, "3")], "i int, y int, m double, n double, t string")
     b = spark.createDataFrame([(1, 5.0), (2, 7.0), (4, 1.0)], "i int, o double")
     got = rows(checks.total_differences(a, b, ["i"], "m", "o", ["y"]))
-    assert got == [(2000, -1.0, 1, 2)]
+    assert got == [(None, None, 0, 0, 0, 1), (2000, -1.0, 1, 2, 0, 0), (2001, None, 0, 0, 1, 0)]
     with pytest.raises(ValueError, match="totals differ"):
         checks.require_totals_agree(a, b, ["i"], "m", "o", ["y"])
     assert rows(checks.column_mismatches(a, [("m", "n")])) == [(2,)]
@@ -163,6 +163,28 @@ def test_checks(spark):
         checks.require_same_rows(a, b.limit(1))
 
 
+def test_totals_see_errors_that_cancel_and_missing_rows(spark):
+    a = spark.createDataFrame([(1, 2000, 5.0), (2, 2000, 6.0)], "i int, y int, m double")
+    same = a.select("i", F.col("m").alias("o"))
+    checks.require_totals_agree(a, same, ["i"], "m", "o", ["y"])
+    off = same.withColumn("o", F.col("o") + F.when(F.col("i") == 1, 5).otherwise(-5))
+    for other in (off, same.where("i = 1")):
+        with pytest.raises(ValueError, match="totals differ"):
+            checks.require_totals_agree(a, other, ["i"], "m", "o", ["y"])
+    with pytest.raises(ValueError, match="totals differ"):
+        checks.require_totals_agree(a.where("i = 2"), same, ["i"], "m", "o", ["y"])
+
+
+def test_corrections_must_name_one_value_of_a_target(spark):
+    df = spark.createDataFrame([(1, 5.0)], "i int, m double")
+    schema = "i int, Variable string, NewVal double"
+    with pytest.raises(ValueError, match="no targets"):
+        apply_corrections(df, spark.createDataFrame([(1, "x", 1.0)], schema), ["i"], ["m"])
+    twice = spark.createDataFrame([(1, "m", None), (1, "m", 1.0)], schema)
+    with pytest.raises(ValueError, match="more than one"):
+        apply_corrections(df, twice, ["i"], ["m"])
+
+
 def test_staged_table_is_read_back(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "i int, s string")
     again = staged(df)
