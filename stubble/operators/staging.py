@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,26 @@ def staging_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the folders that are staged inside, when a job has written its results."""
+    begin = len(_MADE)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _MADE[begin:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _MADE[begin:]
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write a frame once and return a frame that reads it."""
     path = f"{staging_root(df.sparkSession)}/stubble-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ steps themselves are the same for all years.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,7 @@ from stubble.functions.text import (
     remove_first,
     split_pieces,
 )
+from stubble.operators.checks import measure_mismatches
 from stubble.operators.columns import recode, rename_by_pattern, try_cast_columns
 from stubble.operators.grid import append_missing
 from stubble.operators.joins import (
@@ -415,10 +417,33 @@ def has_place(id_column: str, row: str, column: str) -> Column:
     return as_col(id_column).isNotNull() | (as_col(row).isNotNull() & as_col(column).isNotNull())
 
 
-def harvest_2011(sheet: DataFrame, points: DataFrame) -> DataFrame:
+# Measures that the two files of 2011 both hold.
+SHARED_2011 = ["Total Grain Wet (g)", "Total Residue and Grain Wet (g)", "Area (m2)"]
+
+
+def warn_of_mismatches(counts: DataFrame, what: str) -> None:
+    """Warn of the measures whose count of differing rows is not zero."""
+    row = counts.first().asDict()
+    wrong = {m: n for m, n in row.items() if m != "rows_compared" and n}
+    if wrong:
+        warnings.warn(f"{what} differ: {wrong} of {row.get('rows_compared')} rows", stacklevel=2)
+
+
+def harvest_2011(
+    sheet: DataFrame, points: DataFrame, analysis: DataFrame | None = None
+) -> DataFrame:
+    """The yield sheet; ``analysis`` repeats its masses, and differences give a warning."""
     placed = sheet.where(has_place("UID", "Row", "Column")).withColumn(
         "SampleID", F.upper("Barcode")
     )
+    if analysis is not None:
+        again = analysis.where(has_place("UID", "Row", "Column"))
+        mine, theirs = (
+            df.select("UID", *[as_col(m).try_cast("double").alias(m) for m in SHARED_2011])
+            for df in (placed, again)
+        )
+        counts = measure_mismatches(mine, theirs, ["UID"], SHARED_2011, 0.0)
+        warn_of_mismatches(counts, "masses of the two files")
     return harmonise(locate(placed, points, "Row", "Column"), HARVEST_2011)
 
 
@@ -546,11 +571,30 @@ def harvest_2015(sheet: DataFrame) -> DataFrame:
     return harmonise(sheet, HARVEST_2015)
 
 
+# Grain and biomass masses of the sheet and of the lab tables.
+MASSES_2016 = [("GrainNetWt (g)", "Grain Net Wt. (g)"), ("NetWt (g)", "Net Wt. (g)")]
+
+
 def harvest_2016(sheet: DataFrame, lab: list[DataFrame]) -> DataFrame:
-    """Sheet and lab tables by barcode; the sheet's analysis is preferred."""
+    """Sheet and lab tables by barcode; the sheet's analysis is preferred.
+
+    Masses that both hold are compared, and differences give a warning.
+    """
     joined = merge_sides(
         sheet.where(F.col("ID2").isNotNull()), union_diagonal(*lab), "Barcode", "Sample"
     )
+    masses = [p for p in MASSES_2016 if set(p) <= set(joined.columns)]
+    if masses:
+        off = [
+            F.count_if(
+                F.coalesce(
+                    F.abs(as_col(a).try_cast("double") - as_col(b).try_cast("double")) > 0.0,
+                    F.lit(False),
+                )
+            ).alias(a)
+            for a, b in masses
+        ]
+        warn_of_mismatches(joined.agg(F.count("*").alias("rows_compared"), *off), "masses")
     pairs = {
         "GrainOilDM": ("Oil (DM).x", "Oil (DM).y"),
         "GrainProtein": ("Protein (%)", "ProtDM"),

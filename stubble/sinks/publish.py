@@ -70,13 +70,14 @@ def write_three(
     date: str,
     key: list[str] = KEY,
     order: list[Column] | None = None,
+    ready: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Comprehensive, audit and clean outputs; returns (audit, clean).
 
     The table is staged once, so its plan runs once for the three outputs and each
-    output reads only its own columns.
+    output reads only its own columns. A table that is ``ready`` is cheap to read again.
     """
-    df = staged(df)
+    df = df if ready else staged(df)
     code = f"P{processing}A{accuracy}"
     audit, clean = split_outputs(df, key)
     write_csv(df, f"{folder}/{name}_{code}_Comprehensive_{date}.csv", order)
@@ -91,9 +92,16 @@ def level_table(df: DataFrame, processing: int) -> DataFrame:
 
 
 def publish_level(
-    df: DataFrame, folder: str, name: str, processing: int, accuracy: int, date: str
+    df: DataFrame,
+    folder: str,
+    name: str,
+    processing: int,
+    accuracy: int,
+    date: str,
+    ready: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    return write_three(level_table(df, processing), folder, name, processing, accuracy, date)
+    table = level_table(df, processing)
+    return write_three(table, folder, name, processing, accuracy, date, ready=ready)
 
 
 def described(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:

@@ -138,6 +138,12 @@ def test_2011_notes(spark, points):
     assert got[10]["Comments"] == "Residue note: lost NIR note: ns"
     assert (got[10]["BiomassWet"], got[10]["GrainMassWet"], got[10]["GrainSampleArea"]) == (None, 12.5, 2.0)
     assert (got[227]["Comments"], got[227]["BiomassSampleArea"], got[227]["GrainTestWeight"]) == ("", 2.0, 60.0)
+    again = sheet.withColumn("UID", F.coalesce("UID", F.lit("10")))
+    own = again.where("Row is not null")
+    h.harvest_2011(own, points, own)  # alike: no warning
+    other = own.withColumn("Total Grain Wet (g)", F.when(F.col("UID") == "10", "99").otherwise(F.col("Total Grain Wet (g)")))
+    with pytest.warns(UserWarning, match="two files differ.*Total Grain Wet"):
+        h.harvest_2011(own, points, other)
 
 
 def test_2012(spark, points):
@@ -214,6 +220,10 @@ def test_2015_and_2016_areas(spark):
     got = {r["SampleID"]: r for r in h.harvest_2016(own, lab).collect()}
     assert set(got) == {"a", "b", "d"} and got["a"]["GrainOilDM"] == 7.0 and got["b"]["GrainProtein"] == 12.0
     assert got["d"]["GrainMoisture"] == 1.0 and got["a"]["Longitude"] == 1.5 and got["a"]["Crop"] == "WW"
+    masses = "Sample string, `Grain Net Wt. (g)` double, `Net Wt. (g)` double"
+    lab += [spark.createDataFrame([("b", 5.0, 9.5)], masses)]
+    with pytest.warns(UserWarning, match="masses differ.*NetWt"):
+        h.harvest_2016(own, lab)
 
 
 def test_raw_table(spark, points):
