@@ -2,9 +2,11 @@
 
 from stubble.queries import (  # noqa: F401  (importing registers the queries)
     calculation,
+    filing,
     filling,
     harvesting,
     joining,
+    publishing,
     quality,
     replicating,
     summaries,

@@ -80,7 +80,7 @@ def harmonise_two_sheets(spark, sf_dir):
 
 _SIGHT = """v AS (SELECT CAST(day(ts) AS INT) AS HarvestYear, user_id AS ID2,
     CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS GrainMassWet
-  FROM events WHERE event_type = 'purchase' OR day(ts) = 1 GROUP BY 1, 2)"""
+  FROM events GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {_SIGHT}, e AS (SELECT CAST(day(ts) AS INT) AS y, user_id AS u, 1 AS x FROM events
@@ -97,8 +97,7 @@ def publish_raw_table(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     day = F.dayofmonth("ts")
     seen = (
-        events.where((F.col("event_type") == "purchase") | (day == 1))
-        .groupBy(day.alias("HarvestYear"), F.col("user_id").alias("ID2"))
+        events.groupBy(day.alias("HarvestYear"), F.col("user_id").alias("ID2"))
         .agg(F.sum(F.col("value").cast("decimal(12,2)")).cast("double").alias("GrainMassWet"))
     )
     present = (

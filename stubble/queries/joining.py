@@ -32,8 +32,8 @@ _SOURCES = """a AS (SELECT o_orderkey AS ID, CAST(year(o_orderdate) AS INT) AS Y
     o_orderstatus AS Crop,
     CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_totalprice END AS TotalA FROM orders),
   b AS (SELECT l_orderkey AS ID,
-    CAST(sum(CASE WHEN l_returnflag <> 'N' THEN CAST(l_extendedprice AS DECIMAL(12,2)) END)
-      AS DOUBLE) AS TotalB FROM lineitem GROUP BY l_orderkey)"""
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS TotalB
+  FROM lineitem GROUP BY l_orderkey)"""
 
 
 def source_a(spark, sf_dir):
@@ -47,7 +47,7 @@ def source_a(spark, sf_dir):
 
 
 def source_b(spark, sf_dir):
-    price = F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice").cast("decimal(12,2)"))
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("ID"))
@@ -185,21 +185,21 @@ def georef_attach_inner(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT l_orderkey AS k, sum(l_quantity) AS Grain FROM lineitem
-    WHERE l_returnflag = 'A' GROUP BY 1),
+    WHERE l_linestatus = 'F' GROUP BY 1),
   z AS (SELECT l_orderkey AS k, sum(l_quantity) AS Residue FROM lineitem
-    WHERE l_returnflag = 'R' GROUP BY 1)
+    WHERE l_linestatus = 'O' GROUP BY 1)
 SELECT coalesce(g.k, z.k) AS Barcode, {r("Grain")} AS Grain, {r("Residue")} AS Residue
 FROM g FULL JOIN z ON g.k = z.k""")
 def full_attach_masses(spark, sf_dir):
-    def mass(flag, name):
+    def mass(status, name):
         return (
             table(spark, sf_dir, "lineitem")
-            .where(F.col("l_returnflag") == flag)
+            .where(F.col("l_linestatus") == status)
             .groupBy(F.col("l_orderkey").alias("Barcode"))
             .agg(F.sum("l_quantity").alias(name))
         )
 
-    return rounded(full_attach(mass("A", "Grain"), mass("R", "Residue"), ["Barcode"], unique=True))
+    return rounded(full_attach(mass("F", "Grain"), mass("O", "Residue"), ["Barcode"], unique=True))
 
 
 @query(f"""SELECT o_orderkey AS ID, o_custkey AS Barcode, {r("o_totalprice")} AS Value_x,
@@ -222,38 +222,29 @@ def merge_on_barcode(spark, sf_dir):
     return rounded(merged.withColumn("Chosen", prefer(known, "Value_y")))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A')
-SELECT o_orderkey AS ID, {r("s_acctbal")} AS Balance, s_name AS Name,
-  CAST(o_orderdate AS DATE) AS Day FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey
-WHERE o_orderkey IN (SELECT k FROM p)""")
+@query(f"""SELECT o_orderkey AS ID, {r("s_acctbal")} AS Balance, s_name AS Name,
+  CAST(o_orderdate AS DATE) AS Day FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey""")
 def lookup_left(spark, sf_dir):
-    """Left lookup by one key, for the orders that have a line of one kind."""
-    kinds = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "A")
+    """Left lookup by one key."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("ID"), "o_custkey", F.to_date("o_orderdate").alias("Day")
     )
     lookup = table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.col("s_acctbal").alias("Balance"), F.col("s_name").alias("Name")
     )
-    some = attach(orders, kinds.select("l_orderkey"), {"ID": "l_orderkey"}, "left_semi")
-    return rounded(attach(some, lookup, {"o_custkey": "s_suppkey"}).drop("o_custkey"))
+    return rounded(attach(orders, lookup, {"o_custkey": "s_suppkey"}).drop("o_custkey"))
 
 
 # ---- grid and sets ------------------------------------------------------------------
 
-_SEEN = """seen AS (SELECT DISTINCT CAST(ts AS DATE) AS Day, user_id AS ID2 FROM events
-  WHERE event_type = 'purchase' OR CAST(ts AS DATE) = DATE '2024-01-01')"""
+_SEEN = """seen AS (SELECT DISTINCT CAST(ts AS DATE) AS Day, user_id AS ID2 FROM events)"""
 _GAPS = f"""{_SEEN}, base AS (SELECT DISTINCT ID2 FROM seen WHERE Day = DATE '2024-01-01'),
   gaps AS (SELECT Day, ID2 FROM (SELECT DISTINCT Day FROM seen), base EXCEPT SELECT Day, ID2 FROM seen)"""
 
 
 def sightings(spark, sf_dir):
-    day = F.to_date("ts")
-    first = F.lit("2024-01-01").cast("date")
-    return (
-        table(spark, sf_dir, "events")
-        .where((F.col("event_type") == "purchase") | (day == first))
-        .select(day.alias("Day"), F.col("user_id").alias("ID2"))
+    return table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("Day"), F.col("user_id").alias("ID2")
     )
 
 
@@ -282,13 +273,11 @@ def append_missing_points(spark, sf_dir):
     return append_missing(df, places, "2024-01-01", year="Day")
 
 
-@query("""SELECT c_custkey AS ID FROM customer EXCEPT SELECT o_custkey FROM orders
-WHERE o_orderstatus = 'F'""")
+@query("""SELECT c_custkey AS ID FROM customer EXCEPT SELECT user_id FROM events""")
 def set_difference(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
     return difference(
         table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ID")),
-        done.select(F.col("o_custkey").alias("ID")),
+        table(spark, sf_dir, "events").select(F.col("user_id").alias("ID")),
         "ID",
     )
 
