@@ -7,13 +7,14 @@ stands in such a prefix form a block, and every linked pair meets in a block. Th
 frequent shingles last, which keeps shared passages out of the prefixes; it affects only
 the size of blocks, never the result.
 
-1. Star: every member of a block is compared exactly with the block's smallest node. That is
-   as many pairs as members, and it joins groups of near copies, however large.
+1. Star: every member of a block is compared with the block's smallest node, first by bitmaps
+   and sizes, then exactly. That is as many pairs as members, and it joins groups of near
+   copies, however large.
 2. Trees: in blocks whose members are still in different components, each chunk of members
    is a signature tree whose nodes hold the OR of their members' token bitmaps, the range of
    their set sizes and of their components. A dual traversal goes down only into node pairs
-   whose largest possible overlap reaches the threshold. Surviving pairs are compared exactly.
-   Blocks beyond a chunk are traversed chunk by chunk pair, so no task holds a whole block.
+   whose largest possible overlap reaches the threshold. Pairs that also pass the bitmaps of
+   full width (two bits or more per shingle) are compared exactly. Blocks beyond a chunk are traversed chunk by chunk pair, so no task holds a whole block.
 
 Pairs that the star has joined need no comparison; so the result is the exact components of
 the join, not a list of all pairs.
@@ -43,7 +44,7 @@ from stubble.operators.staging import staged
 FREQUENT = 1 << 16
 #: Shingles that a task counts at once, and the least count and largest list it reports.
 COUNTED, LEAST, REPORTED = 3_000_000, 6, 8_000
-#: Members of a block that one tree holds; bits of a bitmap; children of a tree node.
+#: Members of a block that one tree holds; bits of a tree's bitmaps; children of a tree node.
 CHUNK, BITS, FANOUT = 256, 2048, 8
 #: Bits of the filter that tells which documents are candidates (one megabyte).
 FILTER_BITS = 1 << 23
@@ -88,11 +89,32 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(tokens >> np.uint64(20)) % np.uint64(BITS)] = 1
+    """A bit per token, at least twice as many bits as tokens, a power of two of them."""
+    width = max(BITS, 1 << int(2 * len(tokens)).bit_length())
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(tokens >> np.uint64(20)) % np.uint64(width)] = 1
     return np.packbits(bits)
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """The bitmap the same tokens have in fewer bits."""
+    return np.bitwise_or.reduce(bits.reshape(-1, width // 8), axis=0)
+
+
+def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
+    """Whether the sizes and bitmaps of two sets leave a similarity of ``percent`` possible.
+
+    A bit that only one of two sets has stands for a token or more that the other lacks.
+    """
+    width = 8 * min(len(a), len(b))
+    a, b = folded(a, width), folded(b, width)
+    common = int(np.bitwise_count(a & b).sum(dtype=np.int64))
+    lacks_a = int(np.bitwise_count(a).sum(dtype=np.int64)) - common
+    lacks_b = int(np.bitwise_count(b).sum(dtype=np.int64)) - common
+    most = min(na - lacks_a, nb - lacks_b)
+    return (100 + percent) * most >= percent * (na + nb)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part, texts in bpe.blocks(batch, "text", 16_000_000):
@@ -100,20 +122,20 @@ def _texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.R
 
 
 def _sizes_and_frequent(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc, n, same) per document, and rows (token, seen) of locally frequent shingles."""
+    """Rows (doc, n, same, bits) per document, and (token, seen) of locally frequent shingles."""
 
     def run(batches):
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         count = 0
-        names = ["doc", "n", "same", "token", "seen"]
+        names = ["doc", "n", "same", "bits", "token", "seen"]
 
         def frequent() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
             often = np.flatnonzero(times >= LEAST)
             often = often[np.argsort(-times[often], kind="stable")[:REPORTED]]
             k = len(often)
-            gone = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())]
+            gone = [pa.nulls(k, kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             found = [pa.array(tokens[often].view(np.int64)), pa.array(times[often].astype(np.int64))]
             held.clear()
             return pa.RecordBatch.from_arrays([*gone, *found], names=names)
@@ -133,6 +155,7 @@ def _sizes_and_frequent(docs: DataFrame, width: int) -> DataFrame:
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(same, pa.binary()),
+                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     pa.nulls(k, pa.int64()),
                     pa.nulls(k, pa.int64()),
                 ],
@@ -144,7 +167,30 @@ def _sizes_and_frequent(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc long, n long, same binary, token long, seen long")
+    return docs.mapInArrow(run, "doc long, n long, same binary, bits binary, token long, seen long")
+
+
+def _frequent(first: DataFrame) -> np.ndarray:
+    """At most ``FREQUENT`` shingles with the largest counts, the rarest first.
+
+    Counts fall into classes of an eighth of a doubling; the lowest class that is taken
+    whole follows from the sizes of the classes, so no task sorts or sends more.
+    """
+    level = F.floor(F.log2("seen") * 8).cast("int")
+    sums = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
+    sums = staged(sums.withColumn("level", level))
+    sizes = {r["level"]: r["n"] for r in sums.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken, least = 0, None
+    for at in sorted(sizes, reverse=True):
+        taken += sizes[at]
+        if taken > FREQUENT:
+            break
+        least = at
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = sums.where(F.col("level") >= least).select("token", "seen").collect()
+    rows.sort(key=lambda r: (r["seen"], r["token"]))
+    return np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
 
 
 def _shared_postings(docs: DataFrame, often: np.ndarray, width: int, percent: int, parts: int) -> DataFrame:
@@ -223,15 +269,16 @@ def _shared_postings(docs: DataFrame, often: np.ndarray, width: int, percent: in
     return spread.repartition(parts, "bucket").mapInArrow(keep, "token long, doc long")
 
 
-def _candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataFrame:
-    """(node, n, tokens, bits) of the candidate documents.
+def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(node, tokens) of at least the documents that stand in ``pairs``.
 
     A bitmap of fixed size tells most other documents apart before their shingles are made;
-    the join that follows drops the rest.
+    the joins with the pairs drop the rest.
     """
     position = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     words = (
-        candidates.select(position.alias("p"))
+        nodes.select(position.alias("p"))
         .groupBy(F.floor(F.col("p") / 64).cast("int").alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
         .collect()
@@ -246,19 +293,30 @@ def _candidate_sets(docs: DataFrame, candidates: DataFrame, width: int) -> DataF
             maybe = (table[at // 64] >> (at % 64)) & 1
             some = batch.filter(pa.array(maybe.astype(bool)))
             for part, sets in _texts(iter([some]), width):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                    ],
-                    names=["node", "n", "tokens", "bits"],
-                )
+                tokens = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), tokens], names=["node", "tokens"])
 
-    rows = docs.select(F.col("doc").alias("node"), "text").select("node", "text", position.alias("at"))
-    made = rows.mapInArrow(run, "node long, n long, tokens binary, bits binary")
-    return made.join(candidates, "node", "left_semi").dropDuplicates(["node"])
+    rows = docs.where("doc IS NOT NULL").select(F.col("doc").alias("node"), "text")
+    return rows.select("node", "text", position.alias("at")).mapInArrow(run, "node long, tokens binary")
+
+
+def _open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+
+    def run(batches):
+        for batch in batches:
+            na, ba, nb, bb = (batch.column(k).to_pylist() for k in range(2, 6))
+            hit = [
+                may_link(np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8), n, percent)
+                for m, x, n, y in zip(na, ba, nb, bb)
+            ]
+            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+
+    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    both = pairs.join(left, "a").join(right, "b").where(sizes)
+    return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -365,8 +423,8 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         j = table.column("j")[0].as_py()
         table = table.combine_chunks()
         cols = {c: np.asarray(table.column(c)) for c in ("own", "node", "comp", "n")}
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=np.uint64)
-        bits = bits.reshape(-1, BITS // 64)
+        bits = np.stack([folded(np.frombuffer(x, np.uint8), BITS) for x in table.column("bits").to_pylist()])
+        bits = bits.view(np.uint64)
         sides = []
         for chunk in (i, j) if i != j else (i,):
             at = np.flatnonzero(cols["own"] == chunk)
@@ -395,15 +453,7 @@ def similarity_components(
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     first = staged(_sizes_and_frequent(docs, width))
     sizes = first.where("token IS NULL").select("doc", "n", "same")
-    often = (
-        first.where("token IS NOT NULL")
-        .groupBy("token")
-        .agg(F.sum("seen").alias("seen"))
-        .orderBy(F.desc("seen"), "token")
-        .limit(FREQUENT)
-        .collect()
-    )
-    often = np.array([r["token"] for r in reversed(often)], dtype=np.int64).view(np.uint64)
+    often = _frequent(first)
     nodes = sizes.where("n > 0").groupBy("same").agg(F.min("doc").alias("node"))
     members = staged(
         sizes.join(nodes, "same", "left").select("doc", "n", F.coalesce("node", "doc").alias("node"))
@@ -428,21 +478,23 @@ def similarity_components(
         alike.where("size > 1").groupBy("size", "x", "y", "leader").agg(F.min("token").alias("token"))
     )
     inside = staged(postings.join(blocks.select("token", "leader", "size"), "token"))
-    candidates = staged(inside.select("node").distinct())
-    sets = staged(_candidate_sets(docs, candidates, width))
+    candidates = inside.select("node").distinct()
+    rows = first.where("token IS NULL").select(F.col("doc").alias("node"), "n", "bits")
+    sketches = staged(rows.join(candidates, "node", "left_semi").dropDuplicates(["node"]))
     star = inside.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(_verified(star, sets, percent))
+    star = staged(_open_pairs(star, sketches, percent))
+    links = staged(_verified(star, _sets_of(docs, star, width), percent))
     label = staged(connected_components(links))
-    known = inside.join(label, "node", "left").select(
+    # The star has decided blocks of two.
+    known = inside.where("size > 2").join(label, "node", "left").select(
         "token", "node", "size", F.coalesce("component", "node").alias("comp")
     )
     known = staged(known)
     split = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = known.join(split.where("lo <> hi").select("token"), "token")
-    open_ = open_.join(sets.select("node", "n", "bits"), "node")
+    open_ = known.join(split.where("lo <> hi").select("token"), "token").join(sketches, "node")
     open_ = open_.withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")).drop("size")
-    pairs = staged(_tree_pairs(open_, percent))
-    more = staged(_verified(pairs, sets, percent))
+    pairs = staged(_open_pairs(_tree_pairs(open_, percent), sketches, percent))
+    more = staged(_verified(pairs, _sets_of(docs, pairs, width), percent))
     label = connected_components(links.unionByName(more))
     return members.join(label, "node", "left").select(
         F.col("doc").alias("doc_id"),
