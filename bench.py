@@ -1,4 +1,4 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the queries; prints one JSON line. ``value`` is the total of the headline queries."""
 
 from __future__ import annotations
 
@@ -51,12 +51,14 @@ def timed(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", str(os.cpu_count() or 1)))
-    names = sys.argv[1:] or HEADLINE
+    names = sys.argv[1:] or [*HEADLINE, *sorted(set(QUERIES) - set(HEADLINE))]
     spark = local_session("stubble-bench", cpus)
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in names:
-        runs = [timed(spark, name, sf_dir) for _ in range(2)]
+        runs = [timed(spark, name, sf_dir)]
+        if name in HEADLINE or runs[0] < 3:
+            runs.append(timed(spark, name, sf_dir))
         seconds[name] = round(min(runs), 3)
     spark.stop()
     sf = Path(sf_dir).name.removeprefix("sf")
@@ -64,7 +66,7 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "headline queries, best of two runs, total",
-                "value": round(sum(seconds.values()), 3),
+                "value": round(sum(s for n, s in seconds.items() if n in HEADLINE), 3),
                 "unit": "sec",
                 "queries": seconds,
                 "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,

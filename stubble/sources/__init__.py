@@ -1 +1 @@
-"""Readers. All of them return lazily planned DataFrames."""
+"""Readers. CSV and JSON readers plan lazily; sheet readers stage the lines of their files first."""
