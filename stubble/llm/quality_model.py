@@ -6,8 +6,9 @@ the measure's lookup table. The pairs of measures whose joint table lowers the l
 then boosted the same way, with trees that cut both. A score is the sum of one table entry
 per measure and per pair, through the logistic function.
 
-Training takes place on at most ``TRAINING_ROWS`` labelled rows (those with the smallest
-hash of the id), which bounds what reaches the driver; scoring is one pass over all rows.
+Training takes place on at most ``TRAINING_ROWS`` labelled rows, those with the smallest hash
+of the id. A threshold on the hash finds them, so no more than these and a few reach the
+driver. Scoring is one pass over all rows.
 
 Defined cases: null and empty texts have all measures zero and get a score; labels that
 contradict each other for one document count as the smaller; without labels, or with one
@@ -240,14 +241,14 @@ def learnt(features: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     """A model from (doc_id, measures) and (doc_id, quality), without held-out documents."""
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~held_out(F.col("doc_id")))
-    sample = (
-        features.select("doc_id", "measures")
-        .join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-        .select("measures", "quality")
-        .collect()
-    )
+    both = staged(features.select("doc_id", "measures").join(known, "doc_id"))
+    total = both.count()
+    # The share of hashes that holds ``rows`` documents or so; the surplus goes.
+    span = 1 << 31
+    share = span if total <= rows else span * rows // total
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share
+    sample = both.where(chosen).select(F.xxhash64("doc_id").alias("h"), "*").collect()
+    sample = sorted(sample, key=lambda r: (r["h"] % span, r["doc_id"], r["measures"]))[:rows]
     x = np.array([r["measures"] for r in sample], dtype=np.float64).reshape(-1, len(MEASURES))
     y = np.array([1.0 if r["quality"] == 1 else 0.0 for r in sample])
     return fit(x, y)
