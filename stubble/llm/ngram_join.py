@@ -393,6 +393,26 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, percent: int) -> tuple[np
             j, i = _down(j, i, len(y.levels[dy][1]))
 
 
+def _wide_possible(wide: list[np.ndarray], n: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """``may_link`` of the member pairs (p, q), in arrays per bitmap width."""
+    widths = np.array([8 * len(x) for x in wide], dtype=np.int64)
+    width = np.minimum(widths[p], widths[q])
+    out = (100 * n[p] >= percent * n[q]) & (100 * n[q] >= percent * n[p])
+    for w in np.unique(width[out]):
+        pairs = np.flatnonzero(out & (width == w))
+        members, at = np.unique(np.concatenate([p[pairs], q[pairs]]), return_inverse=True)
+        bits = np.stack([folded(wide[m], int(w)) for m in members]).view(np.uint64)
+        held = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        a, b = at[: len(pairs)], at[len(pairs) :]
+        step = max(1, 4_000_000 // int(w))
+        for s in range(0, len(pairs), step):
+            i, j, k = a[s : s + step], b[s : s + step], pairs[s : s + step]
+            common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[p[k]] - held[i] + common, n[q[k]] - held[j] + common)
+            out[k] = (100 + percent) * most >= percent * (n[p[k]] + n[q[k]])
+    return out
+
+
 def _down(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     children = (i[:, None] * FANOUT + np.arange(FANOUT)).ravel()
     inside = children < size
@@ -423,8 +443,8 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         j = table.column("j")[0].as_py()
         table = table.combine_chunks()
         cols = {c: np.asarray(table.column(c)) for c in ("own", "node", "comp", "n")}
-        bits = np.stack([folded(np.frombuffer(x, np.uint8), BITS) for x in table.column("bits").to_pylist()])
-        bits = bits.view(np.uint64)
+        wide = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+        bits = np.stack([folded(x, BITS) for x in wide]).view(np.uint64)
         sides = []
         for chunk in (i, j) if i != j else (i,):
             at = np.flatnonzero(cols["own"] == chunk)
@@ -437,7 +457,9 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
             p, q = dual_traversal(a[1], b[1], percent)
             p, q = a[0][p], b[0][q]
             differ = cols["comp"][p] != cols["comp"][q]
-            p, q = cols["node"][p[differ]], cols["node"][q[differ]]
+            p, q = p[differ], q[differ]
+            open_ = _wide_possible(wide, cols["n"], p, q, percent)
+            p, q = cols["node"][p[open_]], cols["node"][q[open_]]
         low, high = np.minimum(p, q), np.maximum(p, q)
         pairs = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
@@ -493,7 +515,7 @@ def similarity_components(
     split = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_ = known.join(split.where("lo <> hi").select("token"), "token").join(sketches, "node")
     open_ = open_.withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")).drop("size")
-    pairs = staged(_open_pairs(_tree_pairs(open_, percent), sketches, percent))
+    pairs = staged(_tree_pairs(open_, percent))
     more = staged(_verified(pairs, _sets_of(docs, pairs, width), percent))
     label = connected_components(links.unionByName(more))
     return members.join(label, "node", "left").select(
