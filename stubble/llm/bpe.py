@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 NONE = np.iinfo(np.int32).max
 #: Known chunks that a Python worker remembers before it starts afresh.
@@ -220,7 +221,7 @@ def merge(model: Bpe, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np
 def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch with their texts as UTF-8 bytes (null: empty), each near ``limit`` bytes."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     total, begin = 0, 0
     for i, n in enumerate(sizes):
         total += int(n)

@@ -11,7 +11,8 @@ a batch advance side by side over ragged arrays.
 Decoding is a state machine that takes one id at a time and gives the text that is certain.
 
 Defined cases: null and empty texts give no ids and the empty text; special strings inside
-a text are their own ids; repeated rows give the same; extra columns stay.
+a text are their own ids; repeated rows give the same; extra columns stay, but
+for those with the name of a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -198,13 +199,12 @@ def with_digests(df: DataFrame, path: str, text: str = "text", window: int = 102
 
 
 def _mapped(df: DataFrame, text: str, added: dict[str, str], work) -> DataFrame:
-    kept = [c for c in df.columns if c != text]
-    schema = with_fields(df, text, ", ".join(f"{name} {kind}" for name, kind in added.items()))
+    kept, schema = with_fields(df, text, ", ".join(f"{name} {kind}" for name, kind in added.items()))
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in bpe.blocks(batch, text):
-                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, *work(texts)], names=[*kept, *added])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *work(texts)], names=names)
 
     return df.mapInArrow(run, schema)

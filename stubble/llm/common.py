@@ -29,10 +29,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def with_fields(df: DataFrame, without: str | None, ddl: str) -> StructType:
-    """The schema of ``df`` without one column and with the columns of ``ddl`` behind."""
-    kept = [f for f in df.schema.fields if f.name != without]
-    return StructType([*kept, *StructType.fromDDL(ddl).fields])
+def with_fields(df: DataFrame, without: str | None, ddl: str) -> tuple[list[int], StructType]:
+    """Places of the columns that stay, and the schema with the columns of ``ddl`` behind.
+
+    ``without`` goes, and so does what bears the name of a new column: that one replaces it.
+    """
+    added = StructType.fromDDL(ddl)
+    taken = {n.lower() for n in added.names}
+    fields = df.schema.fields
+    kept = [i for i, f in enumerate(fields) if f.name != without and f.name.lower() not in taken]
+    return kept, StructType([*(fields[i] for i in kept), *added.fields])
 
 
 def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

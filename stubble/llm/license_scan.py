@@ -11,7 +11,8 @@ The rules are built by families (licence x version x wording) from the lists bel
 
 Defined cases: null and empty texts have no words and no detections; a rule matches as often
 as it occurs; equal detections of one rule at one place count once; repeated rows give the
-same; extra columns of the input stay.
+same; extra columns of the input stay, but for those with the name of a result, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -271,8 +272,8 @@ PLACES = "array<struct<label:string,word:long>>"
 
 def scan_licenses(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """The rows without their text, with n_words, ``places`` of base phrases and ``detections``."""
-    kept = [c for c in df.columns if c != text]
-    schema = with_fields(df, text, f"n_words long, places {PLACES}, detections {DETECTIONS}")
+    kept, schema = with_fields(df, text, f"n_words long, places {PLACES}, detections {DETECTIONS}")
+    names = schema.names
     place = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
     span = pa.list_(
         pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("weight", pa.float64())])
@@ -284,7 +285,7 @@ def scan_licenses(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | N
             for part, texts in bpe.blocks(batch, text):
                 found = [scan(t) for t in texts]
                 columns = [
-                    *(part.column(part.schema.get_field_index(c)) for c in kept),
+                    *map(part.column, kept),
                     pa.array([f[0] for f in found], pa.int64()),
                     pa.array([[{"label": a, "word": w} for a, w in f[1]] for f in found], place),
                     pa.array(
@@ -292,6 +293,6 @@ def scan_licenses(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | N
                         span,
                     ),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_words", "places", "detections"])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.mapInArrow(run, schema)

@@ -13,7 +13,8 @@ driver. Scoring is one pass over all rows.
 Defined cases: null and empty texts have all measures zero and get a score; labels that
 contradict each other for one document count as the smaller; without labels, or with one
 kind only, the score is the share of label 1 (one half without any); repeated rows score
-alike; an empty table gives an empty result.
+alike; an empty table gives an empty result; extra columns with the name of a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -224,15 +225,14 @@ def held_out(doc_id: Column) -> Column:
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows without their text, with ``measures`` as an array of doubles."""
-    kept = [c for c in df.columns if c != text]
-    schema = with_fields(df, text, "measures array<double>")
+    kept, schema = with_fields(df, text, "measures array<double>")
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in bpe.blocks(batch, text):
                 rows = pa.array([measures_of(t) for t in texts], pa.list_(pa.float64()))
-                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, rows], names=[*kept, "measures"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), rows], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -256,27 +256,29 @@ def learnt(features: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
 
 def with_scores(features: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` to rows that hold ``measures``."""
-    schema = with_fields(features, None, "score double")
-    names = [*features.columns, "score"]
+    kept, schema = with_fields(features, None, "score double")
+    names = schema.names
     at = features.columns.index("measures")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column(at).flatten()).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x))], names=names)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(model.scores(x))], names=names)
 
     return features.mapInArrow(run, schema)
 
 
 def scored_texts(df: DataFrame, model: Model, text: str = "text", name: str = "quality_score") -> DataFrame:
     """Adds the score to the rows of ``df``, which keep their texts."""
-    schema = with_fields(df, None, f"`{name}` double")
+    kept, schema = with_fields(df, None, f"`{name}` double")
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in bpe.blocks(batch, text):
                 x = np.array([measures_of(t) for t in texts], dtype=np.float64).reshape(-1, len(MEASURES))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(x))], names=schema.names)
+                scores = pa.array(model.scores(x))
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), scores], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -16,7 +16,8 @@ partial sums per (stratum, rule, cutoff).
 
 Defined cases: null and empty texts have no words and fail the base rule; a null stratum
 is the stratum ``""``; labels that contradict each other for one document count as bad;
-repeated documents are judged alike; empty labels certify nothing; extra columns stay.
+repeated documents are judged alike; empty labels certify nothing; extra columns stay,
+but for those with the name of a measure, which are replaced.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ Only the counts per shard and the quotas (shards x shards numbers) reach the dri
 
 Defined cases: null keys link nothing; a document whose keys are all unique is a filler;
 repeated rows are documents of their own; an empty table gives an empty result; extra
-columns stay.
+columns stay, but for ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ its lowest-rank pair, and the symbols that survive are the tokens. A pre-token t
 counted before is looked up.
 
 Defined cases: null and empty texts have no tokens; special strings inside a text count
-one token each; repeated rows are counted alike; extra columns stay; an empty table gives
-an empty result.
+one token each; repeated rows are counted alike; extra columns stay, but for one with the
+name of the count, which is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,14 +49,13 @@ def count_tokens(path: str, texts: list[bytes]) -> list[int]:
 
 def with_token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """The rows of ``df`` without the text, with the count of its tokens."""
-    kept = [c for c in df.columns if c != text]
-    schema = with_fields(df, text, f"`{name}` long")
+    kept, schema = with_fields(df, text, f"`{name}` long")
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in bpe.blocks(batch, text):
                 counts = pa.array(count_tokens(path, texts), pa.int64())
-                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, counts], names=[*kept, name])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), counts], names=names)
 
     return df.mapInArrow(run, schema)

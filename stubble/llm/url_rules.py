@@ -7,8 +7,8 @@ Rules without a literal token are candidates of every URL.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and matches
 no rule that needs a token; equal URLs are judged once; an empty table or an empty rule
-list gives no match; further columns of the input are kept out of the result of
-``match_urls`` and cannot clash, because it returns one row per distinct URL.
+list gives no match; further columns of the input stay in ``judge_urls``, but for those with
+the name of a result (host, path, rule_at, verdict), which are replaced.
 """
 
 from __future__ import annotations
@@ -109,7 +109,8 @@ def judge_urls(df: DataFrame, rules: list[UrlRule], default: str = "allow", url:
     best = match_urls(df, url, rules).select(F.col("url").alias("__url"), F.col("best_rule").alias("rule_at"))
     actions = F.array(*[F.lit(r.action) for r in rules]) if rules else F.array(F.lit(default))
     # A null url meets no rule; the join leaves it as it is.
-    joined = df.join(best, df[url] == best["__url"], "left").drop("__url")
+    own = df.drop("rule_at")
+    joined = own.join(best, own[url] == best["__url"], "left").drop("__url")
     return joined.withColumns(
         {
             "host": url_host(F.col(url)),

@@ -182,7 +182,8 @@ def test_nearest_lattice_points():
 
 
 def shards_of(spark, df, n, **more):
-    made = df.select("doc_id", F.col("text").alias("key"), F.octet_length("text").alias("size"))
+    size = F.octet_length("text").alias("size")
+    made = df.select("doc_id", F.col("text").alias("key"), size, F.lit("clash").alias("shard"))
     return sharding.balanced_shards(made, ["key"], n, ["doc_id", "size"], **more).collect()
 
 

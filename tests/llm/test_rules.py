@@ -72,8 +72,8 @@ def judged_by_hand(url):
 
 
 def test_urls_by_hand(spark):
-    data = [(i, u, "clash") for i, u in enumerate([*URLS, URLS[3], None])]
-    df = spark.createDataFrame(data, "page_id long, url string, target string")
+    data = [(i, u, "clash", "clash", "clash") for i, u in enumerate([*URLS, URLS[3], None])]
+    df = spark.createDataFrame(data, "page_id long, url string, target string, rule_at string, host string")
     got = url_rules.judge_urls(df, queries.URL_RULES).collect()
     assert len(got) == len(data)
     for r in got:
@@ -218,9 +218,10 @@ def places_by_hand(text):
 
 
 def test_license_places_by_hand(spark):
-    for r in license_scan.scan_licenses(documents(spark).drop("n_words")).join(documents(spark).select("doc_id", "text"), "doc_id").collect():
+    texts = documents(spark).select("doc_id", "text")
+    for r in license_scan.scan_licenses(documents(spark)).join(texts, "doc_id").collect():
         assert (r["n_words"], sorted((p["label"], p["word"]) for p in r["places"])) == places_by_hand(r["text"])
-    assert license_scan.scan_licenses(empty(spark).drop("n_words")).count() == 0
+    assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -27,7 +27,8 @@ def ids_of(lib, text):
 
 def test_counts_equal_the_library(spark):
     lib = library(WORDS)
-    got = token_counts.with_token_counts(documents(spark), WORDS).collect()
+    clash = documents(spark).withColumn("n_tokens", F.lit("clash"))
+    got = token_counts.with_token_counts(clash, WORDS).collect()
     assert len(got) == len(rows()) and "text" not in got[0].asDict()
     texts = {r[0]: r[1] for r in rows()}
     for r in got:
@@ -38,7 +39,8 @@ def test_counts_equal_the_library(spark):
 def test_streamed_ids_and_text_equal_the_library(spark):
     lib = library(WORDS)
     texts = {r[0]: r[1] for r in rows()}
-    for r in bpe_stream.with_digests(documents(spark).select("doc_id", "text"), WORDS).collect():
+    clash = documents(spark).select("doc_id", "text", F.lit("clash").alias("ids_sha256"))
+    for r in bpe_stream.with_digests(clash, WORDS).collect():
         ids = ids_of(lib, texts[r["doc_id"]])
         data = np.array(ids, dtype="<u4").tobytes()
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(data).hexdigest())
