@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stubble.functions.measures import date_of_serial, sample_id, year_of_serial
+from stubble.functions.measures import date_of_serial, sample_id, year_of_serial, zero_to_null
 from stubble.functions.text import (
     append_notes,
     concat_or_null,
@@ -18,6 +18,7 @@ from stubble.functions.text import (
     split_pieces,
     upper_code,
 )
+from stubble.operators.columns import rename_by_pattern, select_positions, strip_suffixes
 from stubble.queries.base import query, r, rounded, table
 
 
@@ -87,3 +88,19 @@ def sample_ids_and_dates(spark, sf_dir):
         date_of_serial(serial).alias("saved_on"),
         year_of_serial(serial).alias("saved_year"),
     )
+
+
+@query(f"""SELECT l_orderkey AS "Order", l_linenumber AS Line, {r("nullif(l_tax, 0)")} AS Tax,
+  {r("nullif(l_discount, 0)")} AS discount, l_linestatus AS mode FROM lineitem""")
+def names_and_zeros(spark, sf_dir):
+    """Columns chosen by position, renamed by part of their name and without a suffix."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_tax", "l_discount", "l_linestatus"
+    )
+    chosen = select_positions(
+        lines, {1: "Order", 2: "Line", 3: "rate (%T)", 4: "discount_P1", 5: "mode_P2"}
+    )
+    named = rename_by_pattern(chosen, {"%T": "Tax"})
+    plain = dict(zip(named.columns, strip_suffixes(named.columns, ["_P1", "_P2"])))
+    zeros = {c: zero_to_null(c) for c in ("Tax", "discount")}
+    return rounded(named.withColumnsRenamed(plain).withColumns(zeros))
