@@ -7,7 +7,9 @@ is filed under its home cell and also looks into the cells around it that are ne
 Vectors that meet in a cell are compared exactly, by cosine in double precision.
 
 The scale of the lattice and the number of eights follow from the number of vectors, so
-that a cell holds few vectors by chance at any size. Cells are looked up by narrow rows;
+that a cell holds few vectors by chance at any size. The number of tables follows from them
+and the threshold: it is measured how often vectors at exactly the threshold meet, and there
+are as many tables as find more than nine tenths of such pairs at any size. Cells are looked up by narrow rows;
 vectors are attached only in cells where two or more meet. A cell with very many vectors
 is compared chunk by chunk pair. A pair that meets more than once is counted where it meets
 first, which the task finds from the two vectors alone; so links are counted without a table
@@ -23,7 +25,8 @@ vectors of their own; an empty table gives an empty result; extra columns are no
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +40,10 @@ from stubble.operators.staging import staged
 
 #: Vectors of a cell that are compared at once.
 CHUNK = 512
+#: Rows of unrelated vectors that the cell of a row holds at most, on average.
+CROWD = 128
+#: Units of the lattice to choose from, the widest first; beyond 1.2 nearly all vectors share a cell.
+SCALES = tuple(1.2 * 0.93**k for k in range(20))
 
 
 @dataclass(frozen=True)
@@ -50,15 +57,73 @@ class Lattice:
     seed: int = 20
 
 
-def lattice_for(vectors: int, tables: int = 8, probes: int = 3, by_chance: float = 0.1) -> Lattice:
-    """Cells so fine that ``by_chance`` unrelated vectors share one, of a unit of 0.45 or more."""
-    eights = 1
-    while True:
-        cells = (max(vectors, 64) / by_chance) ** (1 / eights)
-        scale = (4.06 / cells) ** 0.125  # the ball of radius 1 has a volume of 4.06
-        if scale >= 0.45:
-            return Lattice(eights, float(scale), tables + 4 * (eights - 1), probes)
-        eights += 1
+def lattice_for(
+    vectors: int, least: float = 0.9, dims: tuple[int, ...] = (64,), probes: int = 3, missed: float = 0.07
+) -> Lattice:
+    """Cells of at most ``CROWD`` unrelated rows, in as many tables as links at ``least`` need.
+
+    The collision of pairs at a cosine of exactly ``least`` is measured on made pairs of every
+    dimension; tables are added until a pair meets in none with a probability of ``missed``.
+    Of the numbers of eights, the one that needs the fewest tables is taken.
+    """
+    found = []
+    for eights in range(1, 9):
+        # The widest unit with which a row's cell holds CROWD unrelated rows at most.
+        fine = [x for x in SCALES if vectors * _crowding(x, probes, eights) <= CROWD]
+        if not fine:
+            continue
+        meet = min((_collision(dim, Lattice(eights, fine[0], 4, probes), least) for dim in dims), default=1.0)
+        if meet > 0:
+            tables = 1 if meet >= 1 - missed else math.ceil(math.log(missed) / math.log1p(-meet))
+            found.append(Lattice(eights, fine[0], tables, probes))
+        if fine[0] == SCALES[0]:
+            break  # more eights only split cells that are small enough
+    return min(found, key=lambda one: (one.tables * one.eights**0.25, one.eights))
+
+
+@functools.lru_cache(maxsize=256)
+def _alike(scale: float, probes: int) -> tuple[float, float]:
+    """For two unrelated vectors and one eight: shared home cells and shared cells, on average."""
+    x = np.random.default_rng(7).normal(size=(5000, 8)) / math.sqrt(8)
+    cells = cells_of(x, Lattice(1, scale, 1, probes))[:, 0]
+    shared = []
+    for some in (cells[:, 0], cells.ravel()):
+        n = np.unique(some, return_counts=True)[1].astype(float)
+        shared.append((n * (n - 1)).sum() / (len(x) * (len(x) - 1)))
+    return shared[0], shared[1]
+
+
+def _crowding(scale: float, probes: int, eights: int) -> float:
+    """Rows of unrelated vectors in the cell of a row, per vector of the table."""
+    home, any_cell = _alike(scale, probes)
+    return home ** (eights - 1) * any_cell / (1 + probes)
+
+
+def measured_dims(lengths: Iterable[int]) -> tuple[int, ...]:
+    """Dimensions at which collisions are measured: small ones as they are, others as powers of two."""
+    return tuple(sorted({n if n <= 32 else min(256, 1 << (n.bit_length() - 1)) for n in lengths if n > 1}))
+
+
+def made_pairs(count: int, dim: int, cosine: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and partners at exactly ``cosine``."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(count, dim)), rng.normal(size=(count, dim))
+    a /= np.sqrt((a * a).sum(axis=1))[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.sqrt((b * b).sum(axis=1))[:, None]
+    return a, cosine * a + math.sqrt(1 - cosine * cosine) * b
+
+
+def meetings(a: np.ndarray, b: np.ndarray, lattice: Lattice) -> np.ndarray:
+    """(pairs, tables) whether the home cell of one is a cell of the other."""
+    p, q = cells_of(a, lattice), cells_of(b, lattice)
+    return (p[:, :, :1] == q).any(axis=2) | (q[:, :, :1] == p).any(axis=2)
+
+
+@functools.lru_cache(maxsize=256)
+def _collision(dim: int, lattice: Lattice, cosine: float) -> float:
+    a, b = made_pairs(1000, dim, cosine, lattice.seed)
+    return float(meetings(a, b, lattice).mean())
 
 
 @functools.lru_cache(maxsize=1)
@@ -367,9 +432,11 @@ def near_duplicates(
         keyed.where("same IS NOT NULL").groupBy("same").agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("size"))
     )
     members = staged(keyed.join(classes, "same", "left").select("vec", F.coalesce("rep", "vec").alias("rep"), "size"))
-    lattice = lattice or lattice_for(classes.count())
     reps = df.join(classes.select(F.col("rep").alias("vec"), "size"), "vec").dropDuplicates(["vec"])
     reps = staged(reps)
+    if lattice is None:
+        lengths = [r[0] for r in reps.select(F.size("embedding")).distinct().collect()]
+        lattice = lattice_for(classes.count(), least, measured_dims(lengths))
     raw = _with_raw(reps)
     filed = staged(_filed(reps, lattice))
     met = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("own").alias("any_own"))

@@ -168,6 +168,22 @@ def test_crowds_beyond_a_chunk_count_alike(spark, monkeypatch):
     assert sorted(map(tuple, lattice_dedup.near_duplicates(df).collect())) == whole
 
 
+@pytest.mark.parametrize("vectors", [500, 5_000, 51_000, 500_000, 3_000_000, 30_000_000])
+def test_lattice_recall_at_the_threshold(vectors):
+    for dim in (24, 64):
+        lattice = lattice_dedup.lattice_for(vectors, 0.9, lattice_dedup.measured_dims([dim]))
+        for cosine in (0.9, 0.91, 0.92):
+            pairs = lattice_dedup.made_pairs(600, dim, cosine, 99)
+            assert lattice_dedup.meetings(*pairs, lattice).any(axis=1).mean() >= 0.9
+
+
+def test_lattice_links_just_above_the_threshold(spark):
+    a, b = lattice_dedup.made_pairs(1500, 64, 0.905, 5)
+    data = [(i, v.tolist(), 0, "") for i, v in enumerate([*a, *b])]
+    got = {r["vec_id"]: r for r in lattice_dedup.near_duplicates(spark.createDataFrame(data, VECTORS)).collect()}
+    assert sum(got[i]["component_id"] == got[i + 1500]["component_id"] for i in range(1500)) >= 1350
+
+
 def test_nearest_lattice_points():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8)) * 2
