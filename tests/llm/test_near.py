@@ -226,6 +226,27 @@ def test_a_hot_key_and_full_shards(spark, hot):
     assert all(sorted(s) == list(range(len(s))) for s in sizes.values())
 
 
+@pytest.mark.parametrize("sizes", [[150, 30, 28, 25, 22, 20, 20], [60, 37, 36, 35, 34, 33, 30, 20], [4] * 70])
+def test_groups_that_fit_a_shard_stay_whole(spark, sizes):
+    texts = [f"t{k}" for k, n in enumerate(sizes) for _ in range(n)]
+    data = [(i, texts[i] if i < len(texts) else f"u{i}", None, None, 0, None) for i in range(300)]
+    got = shards_of(spark, documents(spark, data), 8)
+    held, together = {}, {}
+    for r in got:
+        held.setdefault(r["shard"], []).append(r["slot"])
+        together.setdefault(r["key"], []).append(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in held.values())
+    assert sum(map(len, held.values())) == 300 and {len(s) for s in held.values()} <= {37, 38}
+    split = [len(shards) for shards in together.values() if len(shards) <= 38 and len(set(shards)) > 1]
+    assert split == []
+
+
+def test_groups_beyond_the_driver_find_other_shards(spark):
+    groups = spark.createDataFrame([(i, 2, 0) for i in range(300)], "__lead long, n long, __to int")
+    got = [r["shard"] for r in sharding._settled(groups, [150] * 4).collect()]
+    assert len(got) == 300 and all(got.count(s) == 75 for s in range(4))
+
+
 def test_shards_of_odd_rows(spark):
     got = shards_of(spark, documents(spark), 5)
     assert len(got) == len(rows())
