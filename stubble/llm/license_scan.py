@@ -53,6 +53,16 @@ def _version(v: str) -> str:
     return rf"{head}(?: {tail})?" if tail == "0" else rf"{head} {tail}" if tail else head
 
 
+def _spellings(short: str, v: str) -> Iterator[tuple[str, str]]:
+    """Patterns of a short name with a version, and the words any match holds: ``gpl v3``, ``gpl3``, ``gplv3``."""
+    head = v.partition(".")[0]
+    yield rf"{short} (?:version |v ?)?{_version(v)}", short
+    yield rf"{short}{_version(v)}", f"{short}{head}"
+    yield rf"{short}v{_version(v)}", f"{short}v{head}"
+    yield rf"{short}v {_version(v)}", f"{short}v"
+    yield rf"{short}version {_version(v)}", f"{short}version"
+
+
 _LICENSE = r"(?:licen[sc]e|licen[sc]ed|lic)"
 _CC_PARTS = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
 
@@ -89,7 +99,8 @@ def _gnu() -> Iterator[Rule]:
                 more = 2 if ending else 0
                 yield _rule(label, rf"{full} (?:\S+ )?(?:version |v)?{number}{words}", "general public license", 82 + more)
                 yield _rule(label, rf"version {number} of the {full}{words}", "general public license version", 83 + more)
-                yield _rule(label, rf"(?:gnu )?{short} ?(?:version |v ?)?{number}{words}", short, 70 + more)
+                for pattern, keys in _spellings(short, v):
+                    yield _rule(label, rf"(?:gnu )?{pattern}{words}", keys, 70 + more)
                 yield _rule(label, rf"{short}v{number}{words}", f"{short}v{v[0]}", 71 + more)
                 tag = " or later" if ending else "(?: only)?"
                 yield _rule(label, rf"spdx license identifier {short} {number}{tag}", f"spdx {short}", 95 + more)
@@ -113,7 +124,7 @@ def _versioned() -> Iterator[Rule]:
         "afl": ("academic free", "academic free", ("1.1", "1.2", "2.0", "2.1", "3.0")),
         "ofl": ("sil open font", "sil open font", ("1.0", "1.1")),
         "bsl": ("boost software", "boost software", ("1.0",)),
-        "php": ("php", "php license", ("3.0", "3.1")),
+        "php": ("php", "php", ("3.0", "3.1")),
         "psf": ("python software foundation", "python software foundation", ("2.0",)),
         "ecl": ("educational community", "educational community", ("1.0", "2.0")),
         "lppl": ("latex project public", "latex project public", ("1.0", "1.1", "1.2", "1.3")),
@@ -123,7 +134,8 @@ def _versioned() -> Iterator[Rule]:
         for v in versions:
             label = f"{short}-{v}"
             yield _rule(label, rf"{name} {_LICENSE} (?:\S+ )?(?:version |v ?)?{_version(v)}", keys, 80)
-            yield _rule(label, rf"{short} ?(?:version |v ?)?{_version(v)}", short, 65)
+            for pattern, held in _spellings(short, v):
+                yield _rule(label, pattern, held, 65)
             yield _rule(label, rf"spdx license identifier {short} {_version(v)}", f"spdx {short}", 95)
         yield _rule(short, rf"{name} {_LICENSE}", keys, 50, 0.7)
 

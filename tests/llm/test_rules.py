@@ -243,6 +243,45 @@ def test_license_rules(text, want):
     assert [s[0] for s in spans] == want
 
 
+def made_match(parsed, rng):
+    """A random text that the parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "SUBPATTERN":
+            out += made_match(arg[3], rng)
+        elif op == "BRANCH":
+            out += made_match(rng.choice(arg[1]), rng)
+        elif op == "MAX_REPEAT":
+            least, most, part = arg
+            out += "".join(made_match(part, rng) for _ in range(rng.randint(least, min(most, least + 3))))
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else "7" if "DIGIT" in str(value) else "x"
+    return out
+
+
+def test_the_keyword_gate_passes_every_match():
+    rng = random.Random(1)
+    for rule in license_scan.default_rules():
+        parsed = re._parser.parse(rule.pattern)
+        for _ in range(40):
+            text = made_match(parsed, rng)
+            assert re.search(rule.pattern, f" {text} "), (rule.pattern, text)
+            assert set(rule.keywords) <= set(text.split()), (rule.pattern, rule.keywords, text)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("GPL3", "gpl-3.0"), ("AGPL3", "agpl-3.0"), ("Apache2.0", "apache-2.0"), ("MPL2.0", "mpl-2.0"), ("PHP licence", "php")],
+)
+def test_labels_of_joined_spellings(text, want):
+    spans = license_scan.scanner(license_scan.default_rules()).scan(text.encode())[2]
+    assert want in [s[0] for s in spans]
+
+
 def test_license_rules_number_hundreds():
     rules = license_scan.default_rules()
     assert len(rules) > 300 and len({r.label for r in rules}) > 100
