@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stubble.llm import (
     bpe_stream,
+    direct_codes,
     lattice_dedup,
     license_scan,
     ngram_join,
@@ -20,6 +23,7 @@ from stubble.llm import (
 )
 from stubble.llm.common import read
 from stubble.llm.registry import ORACLES, QUERIES, query
+from stubble.operators.staging import staging_root
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -173,3 +177,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.sort_array(F.array_union(base, named)), ",").alias("labels"),
         (1.0 - doubt).alias("score"),
     )
+
+
+@query()
+def op13_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and digest of every document's ids, from the files they were written to."""
+    folder = f"{staging_root(spark)}/token-files-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    direct_codes.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder, end=2)
+    return direct_codes.read_documents(spark, folder)
