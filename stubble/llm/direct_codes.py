@@ -292,7 +292,7 @@ def read_ids(spark: SparkSession, folder: str, places: DataFrame, place: str = "
         .select("path", "place", (F.col("place") - F.col("first")).alias("at"))
     )
 
-    def look(key, asked: pa.Table, file: pa.Table) -> pa.Table:
+    def look(key, asked, file):
         if not len(asked) or not len(file):
             return pa.table({"place": pa.array([], pa.int64()), "token_id": pa.array([], pa.int64())})
         ids = TokenFile(file.column("content")[0].as_py()).ids(asked.column("at").to_numpy())

@@ -17,6 +17,7 @@ from stubble.llm import (
     packing,
     quality_model,
     quality_rules,
+    ranked_search,
     sharding,
     token_counts,
     url_rules,
@@ -186,3 +187,31 @@ def op13_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     direct_codes.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder, end=2)
     return direct_codes.read_documents(spark, folder)
+
+
+_TERMS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM t),
+p AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf
+  FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM t) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nn) + 2 AS DOUBLE)
+    / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+r AS (SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf)
+    // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank,
+  doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+
+@query(OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for every benchmark item."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, read(spark, sf_dir, "benchmark"))
