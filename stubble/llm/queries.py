@@ -15,6 +15,7 @@ from stubble.llm import (
     license_scan,
     ngram_join,
     packing,
+    prefix_trie,
     quality_model,
     quality_rules,
     ranked_search,
@@ -215,3 +216,46 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that rank highest for every benchmark item."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ranked_search.search(docs, read(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, {'role': role, 'text': text} AS t, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, role, sha256(length(role) || ' ' || role || ' ' || text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, list(t ORDER BY pos) AS ts FROM t GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+    flatten([[CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+      FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+      ELSE xor(a // 2, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END,
+    CAST(4294967295 AS BIGINT))) % 4 AS h FROM c),
+b AS (SELECT h.conv_id, list_concat(coalesce(list_slice(o.ts, 1, h.h), []),
+    list_slice(h.ts, h.h + 1, len(h.ts))) AS s FROM h LEFT JOIN c AS o ON o.conv_id = h.base),
+m AS (SELECT conv_id, len(s) AS size, d, list_slice(s, 1, d) AS path
+  FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM b)),
+n AS (SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '') AS ends,
+    coalesce(len(list_filter(regexp_split_to_array(any_value(path[d].text), '[\x20\x09-\x0D]+'),
+      lambda x: x <> '')), 0) AS words
+  FROM m GROUP BY path),
+k AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children
+  FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.path = k.path),
+s AS (SELECT list_slice(path, 1, d) AS path, sum((n_convs - 1) * words) AS saved,
+    count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN s ON f.path = s.path
+LEFT JOIN n AS p ON f.depth > 0 AND p.path = list_slice(f.path, 1, f.depth - 1)"""
+
+
+@query(OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations rebuilt from heads of others and their own rest."""
+    conv = F.col("conv")
+    heads = F.crc32(F.encode(conv.cast("string"), "UTF-8")) % 4
+    trie = prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), conv - conv % 20, heads)
+    return trie.drop("turn_conv_id", "turn_place")
