@@ -6,9 +6,11 @@ from stubble.queries import (  # noqa: F401  (importing registers the queries)
     filling,
     harvesting,
     joining,
+    positions,
     publishing,
     quality,
     replicating,
+    spatial,
     summaries,
     texts,
 )
