@@ -113,11 +113,26 @@ class TokenFile:
             who = who[on]
         return out
 
+    def span(self, begin: int, end: int) -> np.ndarray:
+        """The ids from ``begin`` to ``end``: what follows one another does so on every level."""
+        out = np.zeros(end - begin, dtype=np.uint32)
+        who = np.arange(end - begin)
+        for depth, (chunks, words, wide, near) in enumerate(self._levels):
+            if begin == end:
+                break
+            out[who] |= chunks[begin:end].astype(np.uint32) << np.uint32(8 * depth)
+            first, shift = begin >> 6, begin & 63
+            bits = np.unpackbits(words[first : -(-end // 64)].view(np.uint8), bitorder="little")
+            on = np.flatnonzero(bits[shift : shift + end - begin])
+            rank = int(wide[begin >> 12]) + int(near[first]) + int(bits[:shift].sum())
+            begin, end, who = rank, rank + len(on), who[on]
+        return out
+
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, first place in the file, and ids of every document."""
         for i in range(self.docs):
             a, b = int(self.starts[i]), int(self.starts[i + 1])
-            yield int(self.doc_ids[i]) if self.known[i] else None, a, self.ids(np.arange(a, b))
+            yield int(self.doc_ids[i]) if self.known[i] else None, a, self.span(a, b)
 
 
 def file_bytes(part: int, number: int, docs: list[tuple[int | None, bytes]]) -> bytes:

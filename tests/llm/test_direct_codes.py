@@ -31,6 +31,9 @@ def test_every_place_is_read_on_its_own(size):
     assert (file.part, file.number, file.docs, file.size) == (3, 4, 4, size)
     places = rng.permutation(size)
     assert (file.ids(places) == ids[places]).all()
+    for _ in range(20):
+        a, b = sorted(rng.integers(0, size + 1, 2).tolist())
+        assert (file.span(a, b) == ids[a:b]).all()
     assert [d[2].tolist() for d in file.documents()] == [p.tolist() for p in np.split(ids, cut)]
 
 
