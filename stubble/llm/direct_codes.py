@@ -130,9 +130,9 @@ class TokenFile:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, first place in the file, and ids of every document."""
-        for i in range(self.docs):
-            a, b = int(self.starts[i]), int(self.starts[i + 1])
-            yield int(self.doc_ids[i]) if self.known[i] else None, a, self.span(a, b)
+        ids, starts = self.span(0, self.size), self.starts.tolist()
+        for doc, known, a, b in zip(self.doc_ids.tolist(), self.known.tolist(), starts, starts[1:]):
+            yield doc if known else None, a, ids[a:b]
 
 
 def file_bytes(part: int, number: int, docs: list[tuple[int | None, bytes]]) -> bytes:
@@ -165,30 +165,43 @@ def chunk_ids(model: bpe.Bpe, chunks: list[bytes]) -> list[bytes]:
     return [data[a:b] for a, b in zip(begins, begins[1:])]
 
 
-_MEMORY: dict[str, bpe.ChunkMemory] = {}
+#: Per file the ids of known chunks, up to ``bpe.REMEMBERED`` of them.
+_KNOWN: dict[str, dict[bytes, bytes]] = {}
 
 
 def token_bytes(path: str, texts: list[bytes]) -> list[bytes]:
     """The ids of each whole text, as the library gives them without added ones."""
     model = bpe.load(path)
-    memory = _MEMORY.setdefault(path, bpe.ChunkMemory(lambda c: chunk_ids(model, c)))
+    known = _KNOWN.setdefault(path, {})
+    if len(known) > bpe.REMEMBERED:
+        known.clear()
     special, starts = bpe.special_pattern(model), [n.encode() for n in model.special]
-    one = {n.encode(): np.array([i], dtype="<u4").tobytes() for n, i in model.special.items()}
     # A text with special strings is a row of parts: chunks, special, chunks, ...
-    cut = []
-    for t in texts:
+    parts, odd = [], {}
+    for i, t in enumerate(texts):
         if any(s in t for s in starts):
-            cut.append([part.split() for part in special.split(t)])
+            odd[i] = special.findall(t)
+            parts += [part.split() for part in special.split(t)]
         else:
-            cut.append([t.split()])
-    known = memory.of([chunks for parts in cut for chunks in parts])
-    out = []
-    for t, parts in zip(texts, cut):
-        coded = [b"".join(map(known.__getitem__, chunks)) for chunks in parts]
-        if len(coded) > 1:
-            between = [one[s] for s in special.findall(t)]
-            coded = [b for pair in zip(coded, [*between, b""]) for b in pair]
-        out.append(b"".join(coded))
+            parts.append(t.split())
+    # One look per chunk; what is missing is learnt together and filled in.
+    found = [list(map(known.get, chunks)) for chunks in parts]
+    lacking = [i for i, ids in enumerate(found) if None in ids]
+    fresh = list({c for i in lacking for c, ids in zip(parts[i], found[i]) if ids is None})
+    if fresh:
+        known.update(zip(fresh, chunk_ids(model, fresh)))
+    for i in lacking:
+        found[i] = [known[c] if ids is None else ids for c, ids in zip(parts[i], found[i])]
+    coded = list(map(b"".join, found))
+    if not odd:
+        return coded
+    one = {n.encode(): np.array([i], dtype="<u4").tobytes() for n, i in model.special.items()}
+    out, rest = [], iter(coded)
+    for i in range(len(texts)):
+        whole = [next(rest)]
+        for name in odd.get(i, ()):
+            whole += [one[name], next(rest)]
+        out.append(b"".join(whole))
     return out
 
 

@@ -214,11 +214,14 @@ def equal_members(nodes: DataFrame, rows: DataFrame, turns: DataFrame, conversat
         return False
     several = nodes.where(differ(["ref", "ref_pos"])).select(*KEY)
     refs = rows.join(several, KEY, "left_semi").select(*KEY, F.col("ref").alias("conv"), F.col("ref_pos").alias("pos"))
-    found = refs.distinct().join(turns.select("conv", "pos", "turn", "digest"), ["conv", "pos"])
+    # Equal references fall together behind the joins, so that a node with many can be split.
+    told = refs.join(turns.select("conv", "pos", "turn", "digest"), ["conv", "pos"])
+    found = told.select(*KEY, "conv", "turn", "digest").distinct()
     texts = described_turns(conversations).drop("words")
     same = [found[c].eqNullSafe(texts[c]) for c in ("conv", "turn", "digest")]
-    told = found.join(texts, reduce(lambda a, b: a & b, same)).groupBy(*KEY)
-    sides = told.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("role", "text") for f in (F.min, F.max)])
+    sides = found.join(texts, reduce(lambda a, b: a & b, same)).groupBy(*KEY).agg(
+        *[f(c).alias(f"{f.__name__}_{c}") for c in ("role", "text") for f in (F.min, F.max)]
+    )
     return not sides.where(differ(["role", "text"])).limit(1).count()
 
 
