@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -54,3 +54,14 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_with(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """Stage a frame, and aggregates of it that are taken while it is written.
+
+    The aggregates stand on top of the plan, in the tasks that write, so each written row
+    counts once and no further job reads the table.
+    """
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]))
+    return out, seen.get
