@@ -2,6 +2,7 @@
 
 from stubble.queries import (  # noqa: F401  (importing registers the queries)
     calculation,
+    distributions,
     filing,
     filling,
     harvesting,
@@ -11,6 +12,7 @@ from stubble.queries import (  # noqa: F401  (importing registers the queries)
     quality,
     replicating,
     spatial,
+    streams,
     summaries,
     texts,
 )
