@@ -5,6 +5,7 @@ from stubble.queries import (  # noqa: F401  (importing registers the queries)
     distributions,
     filing,
     filling,
+    harvest_years,
     harvesting,
     joining,
     positions,
