@@ -124,3 +124,12 @@ def first_means(spark, sf_dir):
     means = means_by(samples(spark, sf_dir), ["Crop", "HarvestYear"], ["GrainMassWet"])
     return rounded(first_rows(means, ["Crop", "HarvestYear"], 10, nulls="last"))
 
+
+
+@query(f"""WITH {S}, m AS (SELECT Crop, HarvestYear, {r("avg(GrainMassWet)")} AS GrainMassWet_mean
+  FROM s GROUP BY Crop, HarvestYear) SELECT * FROM m
+ORDER BY Crop NULLS FIRST, HarvestYear NULLS FIRST LIMIT 10""")
+def first_means_nulls_first(spark, sf_dir):
+    """The same head with unknown crops first."""
+    means = means_by(samples(spark, sf_dir), ["Crop", "HarvestYear"], ["GrainMassWet"])
+    return rounded(first_rows(means, ["Crop", "HarvestYear"], 10, nulls="first"))
