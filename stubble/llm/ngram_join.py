@@ -14,15 +14,21 @@ the size of blocks, never the result.
    is a signature tree whose nodes hold the OR of their members' token bitmaps, the range of
    their set sizes and of their components. A dual traversal goes down only into node pairs
    whose largest possible overlap reaches the threshold. Pairs that also pass the bitmaps of
-   full width (two bits or more per shingle) are compared exactly. Blocks beyond a chunk are traversed chunk by chunk pair, so no task holds a whole block.
+   full width (two bits or more per shingle) are candidates. Blocks beyond a chunk are
+   traversed chunk by chunk pair, so no task holds a whole block. Two sets meet in every block
+   they share, and no bound depends on the block: the first traversal therefore names only the
+   members that have a candidate, at most once per block. The second one runs over those,
+   knows the blocks each of them is named in, and emits a pair only in the first block the two
+   have in common. Candidates are then compared exactly.
 
 Pairs that the star has joined need no comparison; so the result is the exact components of
 the join, not a list of all pairs.
 
 Defined cases: a document with fewer words than a shingle has one shingle, its whole
 sequence; without words or text it has none and links with nothing. Repeated rows are copies
-of one document. Ids are unique but for repeated rows. Extra columns are not carried. An
-empty table gives an empty result.
+of one document. Ids are unique but for repeated rows. Rows without an id get their number of
+shingles, no component, and link with nothing. Extra columns are not carried. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -419,52 +425,75 @@ def _down(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return children[inside], np.repeat(j, FANOUT)[inside]
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components within the blocks.
-
-    ``members``: token, node, comp, n, bits, and ``chunks`` of the block.
-    """
+def _chunk_pairs(members: DataFrame) -> DataFrame:
+    """The members of every block in pairs of chunks, by ``chunks`` of the block."""
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     rows = members.withColumn("own", own).withColumn("other", other)
-    rows = rows.select(
-        "token",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        "own",
-        "node",
-        "comp",
-        "n",
-        "bits",
-    )
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "chunks")
+
+
+def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one chunk pair, of different components, that no bound rules out."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    cols = {c: np.asarray(table.column(c)) for c in ("own", "node", "comp", "n")}
+    wide = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+    bits = np.stack([folded(x, BITS) for x in wide]).view(np.uint64)
+    sides = []
+    for chunk in (i, j) if i != j else (i,):
+        at = np.flatnonzero(cols["own"] == chunk)
+        at = at[np.lexsort((cols["node"][at], cols["n"][at], cols["comp"][at]))]
+        sides.append((at, SignatureTree(bits[at], cols["n"][at], cols["comp"][at]) if len(at) else None))
+    a, b = sides[0], sides[-1]
+    if a[1] is None or b[1] is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    p, q = dual_traversal(a[1], b[1], percent)
+    p, q = a[0][p], b[0][q]
+    differ = cols["comp"][p] != cols["comp"][q]
+    p, q = p[differ], q[differ]
+    open_ = _wide_possible(wide, cols["n"], p, q, percent)
+    return p[open_], q[open_]
+
+
+def _named(members: DataFrame, percent: int) -> DataFrame:
+    """(token, node) of the members that have a candidate in the block.
+
+    ``members``: token, node, comp, n, bits, and ``chunks`` of the block.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        i = table.column("i")[0].as_py()
-        j = table.column("j")[0].as_py()
         table = table.combine_chunks()
-        cols = {c: np.asarray(table.column(c)) for c in ("own", "node", "comp", "n")}
-        wide = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
-        bits = np.stack([folded(x, BITS) for x in wide]).view(np.uint64)
-        sides = []
-        for chunk in (i, j) if i != j else (i,):
-            at = np.flatnonzero(cols["own"] == chunk)
-            at = at[np.lexsort((cols["node"][at], cols["n"][at], cols["comp"][at]))]
-            sides.append((at, SignatureTree(bits[at], cols["n"][at], cols["comp"][at]) if len(at) else None))
-        a, b = sides[0], sides[-1]
-        if a[1] is None or b[1] is None:
-            p = q = np.zeros(0, np.int64)
-        else:
-            p, q = dual_traversal(a[1], b[1], percent)
-            p, q = a[0][p], b[0][q]
-            differ = cols["comp"][p] != cols["comp"][q]
-            p, q = p[differ], q[differ]
-            open_ = _wide_possible(wide, cols["n"], p, q, percent)
-            p, q = cols["node"][p[open_]], cols["node"][q[open_]]
+        rows = pa.array(np.unique(np.concatenate(_candidates(table, percent))))
+        return table.select(["token", "node"]).take(rows)
+
+    return _chunk_pairs(members).groupBy("token", "i", "j").applyInArrow(run, "token long, node long").distinct()
+
+
+def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b), each from the first block that both are named in.
+
+    ``members`` as in ``_named``, with ``tokens``: the blocks a node is named in, ascending.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        p, q = _candidates(table, percent)
+        token, node = table.column("token")[0].as_py(), np.asarray(table.column("node"))
+        blocks = {k: np.asarray(table.column("tokens")[k].values) for k in np.unique(np.concatenate([p, q])).tolist()}
+        first = [
+            np.intersect1d(blocks[x], blocks[y], assume_unique=True)[0] == token for x, y in zip(p.tolist(), q.tolist())
+        ]
+        here = np.array(first, dtype=bool)
+        p, q = node[p[here]], node[q[here]]
         low, high = np.minimum(p, q), np.maximum(p, q)
         pairs = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return rows.groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return _chunk_pairs(members).groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _with_chunks(members: DataFrame) -> DataFrame:
+    return members.withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")).drop("size")
 
 
 def similarity_components(
@@ -474,12 +503,12 @@ def similarity_components(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     first = staged(_sizes_and_frequent(docs, width))
+    docs = docs.where("doc IS NOT NULL")
     sizes = first.where("token IS NULL").select("doc", "n", "same")
     often = _frequent(first)
-    nodes = sizes.where("n > 0").groupBy("same").agg(F.min("doc").alias("node"))
-    members = staged(
-        sizes.join(nodes, "same", "left").select("doc", "n", F.coalesce("node", "doc").alias("node"))
-    )
+    nodes = sizes.where("n > 0 AND doc IS NOT NULL").groupBy("same").agg(F.min("doc").alias("node"))
+    own = F.when(F.col("doc").isNotNull(), F.coalesce("node", "doc"))
+    members = staged(sizes.join(nodes, "same", "left").select("doc", "n", own.alias("node")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     parts = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
@@ -513,9 +542,12 @@ def similarity_components(
     )
     known = staged(known)
     split = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = known.join(split.where("lo <> hi").select("token"), "token").join(sketches, "node")
-    open_ = open_.withColumn("chunks", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int")).drop("size")
-    pairs = staged(_tree_pairs(open_, percent))
+    open_ = known.join(split.where("lo <> hi").select("token"), "token")
+    named = staged(_named(_with_chunks(open_.join(sketches, "node")), percent))
+    lists = staged(named.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens")))
+    counts = named.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    again = open_.drop("size").join(named, ["token", "node"]).join(counts, "token")
+    pairs = staged(_tree_pairs(_with_chunks(again.join(sketches, "node").join(lists, "node")), percent))
     more = staged(_verified(pairs, _sets_of(docs, pairs, width), percent))
     label = connected_components(links.unionByName(more))
     return members.join(label, "node", "left").select(

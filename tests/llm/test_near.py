@@ -269,3 +269,33 @@ def test_checksums_are_unsigned(spark):
     text = "checksum"
     got = documents(spark, [(1, text, None, None, 0, None)]).select(F.crc32(F.encode("text", "UTF-8"))).first()[0]
     assert got == zlib.crc32(text.encode())
+
+
+def test_rows_without_an_id_link_with_nothing(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w20", "x")
+    data = [(None, text, None, None, 0, None), (None, near, None, None, 0, None), (4, text, None, None, 0, None), (9, near, None, None, 0, None)]
+    data += [(None, None, None, None, None, None), (None, "lone words", None, None, 0, None)]
+    got = ngram_join.similarity_components(documents(spark, data)).collect()
+    known = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None)
+    assert known == brute([r for r in data if r[0] is not None])
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None) == [(0, None), (1, None), (36, None), (36, None)]
+
+
+def test_a_pair_is_a_candidate_of_one_block_alone(spark):
+    """Unlike sets that no bitmap tells apart meet in many blocks, and are compared once."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:300], rng.integers(0, 2**63, 100, dtype=np.uint64)])) for _ in range(40)]
+    full = np.packbits(np.ones(ngram_join.BITS, dtype=np.uint8)).tobytes()
+    members = [(token, node, node, len(sets[node]), full, 40) for token in range(25) for node in range(40) if (node + token) % 3]
+    table = spark.createDataFrame(members, "token long, node long, comp long, n long, bits binary, size int")
+    with_chunks = ngram_join._with_chunks(table)
+    named = ngram_join._named(with_chunks, 75)
+    assert named.count() == len(members), "at most once per member and block"
+    lists = named.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    pairs = ngram_join._tree_pairs(with_chunks.join(lists, "node"), 75)
+    got = sorted(map(tuple, pairs.collect()))
+    together = {t for t in range(25)}
+    want = sorted((a, b) for a in range(40) for b in range(a + 1, 40) if any((a + t) % 3 and (b + t) % 3 for t in together))
+    assert got == want
