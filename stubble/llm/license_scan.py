@@ -17,11 +17,13 @@ are replaced.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -223,14 +225,42 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _every(joined: bytes, phrase: bytes) -> list[int]:
-    """Word numbers at which the phrase starts; ``joined`` has a blank around each word."""
+    """Places at which the phrase starts; ``joined`` has a blank around each word."""
     found, at = [], joined.find(phrase)
     while at >= 0:
-        found.append(joined.count(b" ", 0, at))
+        found.append(at)
         at = joined.find(phrase, at + 1)
     return found
 
 
+def _blanks_before(codes: np.ndarray, places: list[int]) -> list[int]:
+    """How many blanks lie before each place."""
+    return np.searchsorted(np.flatnonzero(codes == 32), places).tolist()
+
+
+class Covered:
+    """Spans, and whether one of them holds another one.
+
+    Kept are the spans that no other one holds: their starts and their ends both ascend, so
+    the last one that starts early enough reaches furthest.
+    """
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.starts, start)
+        return at > 0 and self.ends[at - 1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """Add a span that none of them holds."""
+        low = bisect.bisect_left(self.starts, start)
+        high = max(low, bisect.bisect_right(self.ends, end))
+        self.starts[low:high] = [start]
+        self.ends[low:high] = [end]
+
+
 class Scanner:
     """Compiled rules, each filed under the longest of its keywords."""
 
@@ -256,20 +286,26 @@ class Scanner:
         there = set(words)
         rules = [e for k in held for e in self.filed.get(k, ()) if e[2] <= there] + self.always
         joined = b" " + b" ".join(words) + b" "
-        base = [(label, at) for phrase, label in self.base for at in _every(joined, phrase)]
+        codes = np.frombuffer(joined, np.uint8)
+        base = [
+            (label, word) for phrase, label in self.base for word in _blanks_before(codes, _every(joined, phrase))
+        ]
         # Undecodable bytes cannot occur in a text column; surrogates keep lengths safe.
         body = joined.decode("utf-8", "surrogateescape")
         found: list[tuple[int, int, Rule]] = []
         for rule, pattern, _ in rules:
             found.extend((m.start(), m.end(), rule) for m in pattern.finditer(body))
         standing: list[tuple[int, int, Rule]] = []
+        covered = Covered()
         for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-            if not any(a <= start and end <= b for a, b, _ in standing):
+            if not covered.holds(start, end):
+                covered.add(start, end)
                 standing.append((start, end, rule))
         standing.sort(key=lambda d: (d[0], d[1], d[2].label))
-        spans = [
-            (r.label, body.count(" ", 0, a) - 1, body.count(" ", 0, b) - 1, r.weight) for a, b, r in standing
-        ]
+        letters = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), "<u4")
+        first = _blanks_before(letters, [a for a, _, _ in standing])
+        last = _blanks_before(letters, [b for _, b, _ in standing])
+        spans = [(r.label, a - 1, b - 1, r.weight) for (_, _, r), a, b in zip(standing, first, last)]
         return len(words), base, spans
 
 

@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,3 +328,45 @@ def test_all_queries_are_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
+
+
+def slow_scan(scan, text):
+    """Detections with suppression by looking at every standing one."""
+    words = license_scan.words_of(text)
+    body = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogateescape")
+    found = []
+    for rule, pattern, keys in [e for filed in scan.filed.values() for e in filed] + scan.always:
+        found += [(m.start(), m.end(), rule) for m in pattern.finditer(body)]
+    standing = []
+    for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        if not any(a <= start and end <= b for a, b, _ in standing):
+            standing.append((start, end, rule))
+    standing.sort(key=lambda d: (d[0], d[1], d[2].label))
+    spans = [(r.label, body.count(" ", 0, a) - 1, body.count(" ", 0, b) - 1, r.weight) for a, b, r in standing]
+    joined = b" " + b" ".join(words) + b" "
+    base = []
+    for phrase, label in scan.base:
+        at = joined.find(phrase)
+        while at >= 0:
+            base.append((label, joined.count(b" ", 0, at)))
+            at = joined.find(phrase, at + 1)
+    return len(words), base, spans
+
+
+def test_gated_scans_equal_slow_scans_of_all_rules():
+    scan = license_scan.scanner(license_scan.default_rules())
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    texts = [t.encode() for (t,) in texts if len(t) < 20_000]
+    rng = random.Random(2)
+    pieces = "gnu general public license version 2 or later|cc by sa 4 0|cc by x|all rights reserved|apache license version 2 0|mit license|İ é 日本|gpl3|the 3 clause bsd license|spdx license identifier mit".split("|")
+    texts += [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))).encode() for _ in range(200)]
+    for text in texts:
+        assert scan.scan(text) == slow_scan(scan, text)
+
+
+def test_a_megabyte_of_matches_is_scanned_in_seconds():
+    scan = license_scan.scanner(license_scan.default_rules())
+    began = time.process_time()
+    words, base, spans = scan.scan(b"cc by x " * 131_072)
+    assert time.process_time() - began < 5
+    assert words == 3 * 131_072 and len(base) == 131_072 and len(spans) == 131_072
