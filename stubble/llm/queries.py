@@ -142,14 +142,39 @@ def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query()
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS gs FROM w),
+s AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS gram FROM g),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s AS a JOIN s AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(x, c) AS (SELECT doc_id, doc_id FROM g UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.x),
+m AS (SELECT x, min(c) AS c FROM r GROUP BY x)
+SELECT doc_id, CAST(len(gs) AS BIGINT) AS n_shingles, c AS component_id FROM g JOIN m ON x = doc_id"""
+
+
+@query(OP4_SQL)
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and similarity component of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.similarity_components(docs)
 
 
-@query()
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, len(e) AS d FROM v WHERE e IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id AND a.d = b.d
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r(x, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT k.y, r.c FROM r JOIN k ON k.x = r.x),
+m AS (SELECT x, min(c) AS c FROM r GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM k WHERE k.x = vec_id) AS n_links, c AS component_id, vec_id = c AS kept
+FROM v JOIN m ON m.x = vec_id"""
+
+
+@query(OP10_SQL)
 def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding at a cosine of 0.9 or more."""
     return lattice_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
