@@ -42,6 +42,10 @@ K1, B = 1.2, 0.75
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Marks pieces whose ids depend on the text around them; no piece has one byte of ids.
+_WHOLE = b"\0"
+
+
 class WordIds:
     """Ids of whole texts from the ids of their words, equal to the library's.
 
@@ -63,81 +67,62 @@ class WordIds:
         self.special = [a["content"] for a in spec["added_tokens"]]
         self.size = 1 + max([*ranks.values(), *(a["id"] for a in spec["added_tokens"])])
         self.newline = self.coder.encode_ordinary("\n")[0]
-        self._clear()
+        self.known: dict[str, bytes] = {}
 
     def _clear(self) -> None:
-        self.spaced: dict[str, int] = {}
-        self.first: dict[str, int] = {}
-        # Entry 0 is a line break; -1 marks words that must be seen in their text.
-        self.flat = np.array([self.newline], dtype=np.uint32)
-        self.begin = np.array([0], dtype=np.int64)
-        self.count = np.array([1], dtype=np.int64)
-
-    def _learn(self, known: dict[str, int], words: set[str], lead: str) -> None:
-        fresh = [w for w in words if w not in known]
-        good = [w for w in fresh if w and not w[-1].isspace() and (lead or not w[0].isspace())]
-        for w in set(fresh).difference(good):
-            known[w] = -1
-        # A line break before every word is one id that no word holds: it parts the ids.
-        parts, counts = [], []
-        for at in range(0, len(good), 2000):
-            some = good[at : at + 2000]
-            ids = np.array(self.coder.encode_ordinary("".join(f"\n{lead}{w}" for w in some)), dtype=np.uint32)
+        self.known.clear()
+        self.known["\n"] = np.array([self.newline], dtype="<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces: a line's first word, or a word with the blank before it."""
+
+        def good(piece: str) -> bool:
+            word = piece[1:] if piece[:1] == " " else piece
+            return bool(word) and not word[-1].isspace() and (word is not piece or not word[0].isspace())
+
+        known = self.known
+        known.update((p, _WHOLE) for p in pieces if not good(p))
+        # A line break before every piece is one id that no piece holds: it parts the ids.
+        pieces = [p for p in pieces if p not in known]
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            ids = np.array(self.coder.encode_ordinary("\n" + "\n".join(some)), dtype="<u4")
             breaks = np.flatnonzero(ids == self.newline)
-            if len(breaks) != len(some):  # a word holds a line break of its own
-                ids_of = [self.coder.encode_ordinary(lead + w) for w in some]
-                parts.append(np.concatenate([np.array(i, dtype=np.uint32) for i in ids_of]))
-                counts.append(np.array([len(i) for i in ids_of], dtype=np.int64))
+            if len(breaks) != len(some):  # a piece holds a line break of its own
+                known.update((p, np.array(self.coder.encode_ordinary(p), dtype="<u4").tobytes()) for p in some)
                 continue
-            counts.append(np.diff(np.append(breaks, len(ids))) - 1)
-            parts.append(ids[ids != self.newline])
-        if not good:
-            return
-        base = len(self.begin)
-        count = np.concatenate(counts)
-        begin = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, *parts])
-        self.begin = np.concatenate([self.begin, begin])
-        self.count = np.concatenate([self.count, count])
-        known.update(zip(good, range(base, base + len(good))))
+            data, begins = ids.tobytes(), (4 * breaks + 4).tolist()
+            ends = [*(b - 4 for b in begins[1:]), len(data)]
+            known.update((p, data[a:b]) for p, a, b in zip(some, begins, ends))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as an array of unsigned 32-bit integers."""
-        if len(self.begin) > bpe.REMEMBERED:
+        if len(self.known) > bpe.REMEMBERED or not self.known:
             self._clear()
+        known = self.known
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [[line.split(" ") for line in t.split("\n")] if t and i not in odd else [] for i, t in enumerate(texts)]
-        self._learn(self.first, {line[0] for lines in split for line in lines}, "")
-        self._learn(self.spaced, {w for lines in split for line in lines for w in line[1:]}, " ")
-        first, spaced = self.first.__getitem__, self.spaced.__getitem__
-        index: list[int] = []
-        sizes = []
-        for lines in split:
-            was = len(index)
-            for line in lines:
-                index.append(0)
-                index.append(first(line[0]))
-                index.extend(map(spaced, line[1:]))
-            sizes.append(len(index) - was)
-        at = np.array(index, dtype=np.int64)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        bad = np.concatenate([[0], np.cumsum(at < 0)])
-        keep = np.ones(len(at), dtype=bool)
-        keep[starts[np.array(sizes) > 0]] = False  # no line break before the first line
-        count = np.where(keep & (at >= 0), self.count[at], 0)
-        total = np.concatenate([[0], np.cumsum(count)])
-        steps = np.arange(total[-1]) - np.repeat(total[:-1], count)
-        flat = self.flat[np.repeat(self.begin[at], count) + steps]
+        # A text with a zero character cannot be parted at one.
+        split = [
+            t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and i not in odd and "\0" not in t else []
+            for i, t in enumerate(texts)
+        ]
+        found = [list(map(known.get, pieces)) for pieces in split]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        fresh = {p for i in lacking for p, ids in zip(split[i], found[i]) if ids is None}
+        if fresh:
+            self._learn(list(fresh))
+        for i in lacking:
+            found[i] = [known[p] if ids is None else ids for p, ids in zip(split[i], found[i])]
         out = []
-        for i, text in enumerate(texts):
+        for i, (text, ids) in enumerate(zip(texts, found)):
             if i in odd:
-                ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            elif bad[ends[i]] > bad[starts[i]]:
-                ids = np.array(self.coder.encode_ordinary(text), dtype=np.uint32)
+                whole = self.library.encode(text, add_special_tokens=False).ids
+            elif _WHOLE in ids or not ids:
+                whole = self.coder.encode_ordinary(text)
             else:
-                ids = flat[total[starts[i]] : total[ends[i]]]
-            out.append(ids)
+                out.append(np.frombuffer(b"".join(ids), dtype="<u4"))
+                continue
+            out.append(np.array(whole, dtype=np.uint32))
         return out
 
 
