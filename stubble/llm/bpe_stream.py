@@ -5,8 +5,9 @@ a merge is disturbed only by an earlier-ranked merge that takes a symbol on the
 of its right part, that one only by a still earlier one, and so on; the longest such chain
 is the sufficient lookahead (``sufficient_lookahead``). A stream keeps a window of
 symbols; tokens that end before the lookahead's reach are stable and are emitted, the rest
-waits. Memory per stream is the window, whatever the length of the pre-token. Streams of
-a batch advance side by side over ragged arrays.
+waits. What is merged at a time is the window, whatever the length of the pre-token. Streams
+of a batch advance side by side over ragged arrays; a batch whose pre-tokens all fit the
+window is merged at once. Pre-tokens and ids of a batch are held until it ends.
 
 Decoding is a state machine that takes one id at a time and gives the text that is certain.
 
