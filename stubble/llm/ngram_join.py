@@ -16,10 +16,10 @@ the size of blocks, never the result.
    whose largest possible overlap reaches the threshold. Pairs that also pass the bitmaps of
    full width (two bits or more per shingle) are candidates. Blocks beyond a chunk are
    traversed chunk by chunk pair, so no task holds a whole block. Two sets meet in every block
-   they share, and no bound depends on the block: the first traversal therefore names only the
-   members that have a candidate, at most once per block. The second one runs over those,
-   knows the blocks each of them is named in, and emits a pair only in the first block the two
-   have in common. Candidates are then compared exactly.
+   they share, and no bound depends on the block; so a member brings the first ``SKETCH`` of
+   its blocks along, and a pair is left out of a block if these lists show an earlier one the
+   two have in common. In the first block of all nothing leaves it out. Candidates are
+   compared exactly.
 
 Pairs that the star has joined need no comparison; so the result is the exact components of
 the join, not a list of all pairs.
@@ -52,6 +52,8 @@ FREQUENT = 1 << 16
 COUNTED, LEAST, REPORTED = 3_000_000, 6, 8_000
 #: Members of a block that one tree holds; bits of a tree's bitmaps; children of a tree node.
 CHUNK, BITS, FANOUT = 256, 2048, 8
+#: Blocks of a member that its rows name.
+SKETCH = 16
 #: Bits of the filter that tells which documents are candidates (one megabyte).
 FILTER_BITS = 1 << 23
 #: Postings that a reducer sorts.
@@ -455,41 +457,26 @@ def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return p[open_], q[open_]
 
 
-def _named(members: DataFrame, percent: int) -> DataFrame:
-    """(token, node) of the members that have a candidate in the block.
-
-    ``members``: token, node, comp, n, bits, and ``chunks`` of the block.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rows = pa.array(np.unique(np.concatenate(_candidates(table, percent))))
-        return table.select(["token", "node"]).take(rows)
-
-    return _chunk_pairs(members).groupBy("token", "i", "j").applyInArrow(run, "token long, node long").distinct()
-
-
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b), each from the first block that both are named in.
+    """Candidate pairs (a, b), few of them more than once.
 
-    ``members`` as in ``_named``, with ``tokens``: the blocks a node is named in, ascending.
+    ``members``: token, node, comp, n, bits, ``tokens`` (the node's first blocks) and
+    ``chunks`` of the block.
     """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         p, q = _candidates(table, percent)
-        token, node = table.column("token")[0].as_py(), np.asarray(table.column("node"))
-        blocks = {k: np.asarray(table.column("tokens")[k].values) for k in np.unique(np.concatenate([p, q])).tolist()}
-        first = [
-            np.intersect1d(blocks[x], blocks[y], assume_unique=True)[0] == token for x, y in zip(p.tolist(), q.tolist())
-        ]
+        token, node, lists = table.column("token")[0].as_py(), np.asarray(table.column("node")), table.column("tokens")
+        before = {k: {t for t in lists[k].as_py() if t < token} for k in np.unique(np.concatenate([p, q])).tolist()}
+        first = [before[x].isdisjoint(before[y]) for x, y in zip(p.tolist(), q.tolist())]
         here = np.array(first, dtype=bool)
         p, q = node[p[here]], node[q[here]]
         low, high = np.minimum(p, q), np.maximum(p, q)
         pairs = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return _chunk_pairs(members).groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return _chunk_pairs(members).groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _with_chunks(members: DataFrame) -> DataFrame:
@@ -543,11 +530,10 @@ def similarity_components(
     known = staged(known)
     split = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_ = known.join(split.where("lo <> hi").select("token"), "token")
-    named = staged(_named(_with_chunks(open_.join(sketches, "node")), percent))
-    lists = staged(named.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens")))
-    counts = named.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-    again = open_.drop("size").join(named, ["token", "node"]).join(counts, "token")
-    pairs = staged(_tree_pairs(_with_chunks(again.join(sketches, "node").join(lists, "node")), percent))
+    open_ = staged(open_)
+    lists = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, SKETCH).alias("tokens"))
+    details = staged(lists.join(sketches, "node"))
+    pairs = staged(_tree_pairs(_with_chunks(open_.join(details, "node")), percent).distinct())
     more = staged(_verified(pairs, _sets_of(docs, pairs, width), percent))
     label = connected_components(links.unionByName(more))
     return members.join(label, "node", "left").select(
