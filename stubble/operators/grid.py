@@ -9,6 +9,9 @@ from stubble.operators.joins import attach_points_inner
 from stubble.operators.sets import append_strict
 from stubble.operators.staging import staged
 
+#: Years of a grid: every point gathers the ones it was seen in.
+MOST_YEARS = 10_000
+
 
 def complete_grid(
     df: DataFrame,
@@ -21,11 +24,13 @@ def complete_grid(
     Each point's seen years are gathered (at most one entry per year) and only the
     years it lacks are emitted; present pairs are never produced. Null years and null
     points take no part. The list of all years is one staged row that is joined to the
-    points.
+    points; more than ``MOST_YEARS`` of them raise.
     """
     seen_rows = df.select(year, point).where(F.col(year).isNotNull() & F.col(point).isNotNull())
     dtype = df.schema[year].dataType
-    years = seen_rows.groupBy(year).agg(F.lit(1).alias("__one"))
+    years = staged(seen_rows.groupBy(year).agg(F.lit(1).alias("__one")))
+    if years.count() > MOST_YEARS:
+        raise ValueError(f"more than {MOST_YEARS} values of {year}: no grid of years and points")
     all_years = staged(years.groupBy("__one").agg(F.collect_set(year).alias("__all")))
     seen = seen_rows.groupBy(point).agg(F.collect_set(year).alias("__seen"))
     # Every point was seen in some year, so all meet the one row.

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stubble.operators import checks
+from stubble.operators import checks, grid
 from stubble.operators.columns import (
     condense,
     drop_above_level,
@@ -190,3 +190,11 @@ def test_staged_table_is_read_back(spark):
     again = staged(df)
     assert rows(again) == rows(df) and again.schema == df.schema
     assert staging_root(spark)
+
+
+def test_a_grid_of_too_many_years_raises(spark, monkeypatch):
+    monkeypatch.setattr(grid, "MOST_YEARS", 3)
+    df = spark.createDataFrame([(y, 1) for y in range(4)], "HarvestYear int, ID2 int")
+    with pytest.raises(ValueError, match="HarvestYear"):
+        complete_grid(df, "HarvestYear", "ID2", 0)
+    assert complete_grid(df.where("HarvestYear < 3"), "HarvestYear", "ID2", 0).count() == 0
