@@ -1,5 +1,7 @@
 """Joins, grid, sets, corrections, boundary and validation."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,31 @@ def test_checks(spark):
         checks.require_same_rows(a, b.limit(1))
 
 
+@pytest.mark.parametrize("tolerance", [0.0, 0.5, 1.0])
+def test_mismatches_of_repeated_and_null_keys_are_counted_by_pair(spark, tolerance):
+    inf, nan = float("inf"), float("nan")
+    values = [None, 0.0, -0.0, 0.5, 1.0, 1.25, -3.0, 1e300, inf, -inf, nan]
+    mine = [(k, v, float(i % 3)) for k in ("x", None, "x", "y") for i, v in enumerate(values)]
+    theirs = [(k, v, None if i % 5 == 0 else 1.0) for k in (None, "x", None, "z") for i, v in enumerate(values[::-1])]
+    a, b = (spark.createDataFrame(r, "i string, m double, n double") for r in (mine, theirs))
+    pairs = a.alias("a").join(b.alias("b"), F.expr("a.i <=> b.i"))
+    off = [F.count_if(F.coalesce(F.expr(f"abs(a.{c} - b.{c}) > {tolerance}"), F.lit(False))) for c in "mn"]
+    expected = rows(pairs.agg(F.count("*"), *off))
+    assert rows(checks.measure_mismatches(a, b, ["i"], ["m", "n"], tolerance)) == expected
+    assert rows(checks.measure_mismatches(a.limit(0), b, ["i"], ["m"], tolerance)) == [(0, 0)]
+
+
+def test_mismatches_of_many_rows_without_a_key(spark):
+    n = 100_000
+    a = spark.range(n).select(F.lit(None).cast("string").alias("i"), (F.col("id") * 1.5).alias("m"))
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # pair by pair these are 10 to the power of 10
+    stop.start()
+    try:
+        assert rows(checks.measure_mismatches(a, a, ["i"], ["m"], 0.0)) == [(n * n, n * n - n)]
+    finally:
+        stop.cancel()
+
+
 def test_totals_see_errors_that_cancel_and_missing_rows(spark):
     a = spark.createDataFrame([(1, 2000, 5.0), (2, 2000, 6.0)], "i int, y int, m double")
     same = a.select("i", F.col("m").alias("o"))
