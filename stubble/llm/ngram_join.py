@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from stubble.llm import bpe
 from stubble.llm.components import connected_components
-from stubble.operators.staging import staged
+from stubble.operators.staging import staged, unstaged
 
 #: Shingles that the order knows as frequent; a longer list would only make blocks smaller.
 FREQUENT = 1 << 16
@@ -504,6 +504,7 @@ def similarity_components(
     shared = staged(_shared_postings(docs, often, width, percent, parts))
     owners = members.select("doc", "node")
     postings = staged(shared.join(owners, "doc").select("token", "node").distinct())
+    unstaged(shared)
     # Shingles with the same members make the same block; one of them is enough.
     mix = F.xxhash64("node")
     alike = postings.groupBy("token").agg(
@@ -516,25 +517,32 @@ def similarity_components(
         alike.where("size > 1").groupBy("size", "x", "y", "leader").agg(F.min("token").alias("token"))
     )
     inside = staged(postings.join(blocks.select("token", "leader", "size"), "token"))
+    unstaged(postings, blocks)
     candidates = inside.select("node").distinct()
     rows = first.where("token IS NULL").select(F.col("doc").alias("node"), "n", "bits")
     sketches = staged(rows.join(candidates, "node", "left_semi").dropDuplicates(["node"]))
+    unstaged(first)
     star = inside.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = staged(_open_pairs(star, sketches, percent))
     links = staged(_verified(star, _sets_of(docs, star, width), percent))
+    unstaged(star)
     label = staged(connected_components(links))
     # The star has decided blocks of two.
     known = inside.where("size > 2").join(label, "node", "left").select(
         "token", "node", "size", F.coalesce("component", "node").alias("comp")
     )
     known = staged(known)
+    unstaged(inside, label)
     split = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_ = known.join(split.where("lo <> hi").select("token"), "token")
     open_ = staged(open_)
+    unstaged(known)
     lists = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("token")), 1, SKETCH).alias("tokens"))
     details = staged(lists.join(sketches, "node"))
     pairs = staged(_tree_pairs(_with_chunks(open_.join(details, "node")), percent).distinct())
+    unstaged(open_, details, sketches)
     more = staged(_verified(pairs, _sets_of(docs, pairs, width), percent))
+    unstaged(pairs)
     label = connected_components(links.unionByName(more))
     return members.join(label, "node", "left").select(
         F.col("doc").alias("doc_id"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stubble.llm import lattice_dedup, ngram_join, sharding
 from stubble.llm.components import connected_components
+from stubble.operators import staging
 from tests.llm.fixtures import documents, empty, rows
 
 
@@ -50,6 +51,14 @@ def test_ngram_join_equals_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows())
 
 
+def test_ngram_join_leaves_no_table_that_is_read_no_more(spark):
+    begin = len(staging._MADE)
+    got = ngram_join.similarity_components(documents(spark))
+    left = [spark.read.parquet(path).columns for path in staging._MADE[begin:]]
+    assert not [c for c in left if {"bits", "tokens", "leader"} & set(c) or c == ["token", "node"]]
+    assert sorted(map(tuple, got.collect())) == brute(rows())
+
+
 def test_chains_and_blocks_beyond_a_chunk(spark, monkeypatch):
     """Copies that drift apart: no star joins them, and blocks need several trees."""
     rng = np.random.default_rng(3)
