@@ -231,6 +231,25 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
             total, begin = 0, i + 1
 
 
+def distinct(lists: pa.ListArray, kind: pa.DataType) -> tuple[list, np.ndarray, np.ndarray]:
+    """The distinct strings in the lists as ``kind``, the number of each entry's string, and the lists' edges."""
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.view(kind).to_numpy(zero_copy_only=False).tolist()
+    return words, coded.indices.to_numpy(), lists.offsets.to_numpy()
+
+
+def spread(ids: list[bytes], codes: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """The ids of each list: those of its entries, which are given once per distinct string."""
+    flat = np.frombuffer(b"".join(ids), dtype="<u4")
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    begins = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    out = flat[np.arange(int(n.sum())) + np.repeat(begins[codes] - (ends - n), n)]
+    cuts = np.concatenate([[0], ends])[edges].tolist()
+    return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class ChunkMemory:
     """What ``work`` makes of each distinct chunk, remembered up to a bound."""
 

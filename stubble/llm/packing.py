@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,27 +103,25 @@ class WordIds:
         known = self.known
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         # A text with a zero character cannot be parted at one.
-        split = [
-            t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if t and i not in odd and "\0" not in t else []
+        parted = [
+            t.replace(" ", "\0 ").replace("\n", "\0\n\0") if i not in odd and "\0" not in t else ""
             for i, t in enumerate(texts)
         ]
-        found = [list(map(known.get, pieces)) for pieces in split]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        fresh = {p for i in lacking for p, ids in zip(split[i], found[i]) if ids is None}
+        # Each distinct piece is looked up once.
+        split = pc.split_pattern(pa.array(parted, pa.large_string()), "\0")
+        pieces, codes, edges = bpe.distinct(split, pa.large_string())
+        fresh = [p for p in pieces if p not in known]
         if fresh:
-            self._learn(list(fresh))
-        for i in lacking:
-            found[i] = [known[p] if ids is None else ids for p, ids in zip(split[i], found[i])]
-        out = []
-        for i, (text, ids) in enumerate(zip(texts, found)):
-            if i in odd:
-                whole = self.library.encode(text, add_special_tokens=False).ids
-            elif _WHOLE in ids or not ids:
-                whole = self.coder.encode_ordinary(text)
-            else:
-                out.append(np.frombuffer(b"".join(ids), dtype="<u4"))
-                continue
-            out.append(np.array(whole, dtype=np.uint32))
+            self._learn(fresh)
+        ids = [known[p] for p in pieces]
+        hard = np.array([i == _WHOLE for i in ids], dtype=bool)[codes]
+        at = np.concatenate([[0], np.cumsum(hard)])[edges]
+        whole = np.flatnonzero(np.diff(at)).tolist()  # among them empty, odd and zero-holding texts
+        out = bpe.spread([b"" if i == _WHOLE else i for i in ids], codes, edges)
+        for i in whole:
+            text = texts[i]
+            found = self.library.encode(text, add_special_tokens=False).ids if i in odd else self.coder.encode_ordinary(text)
+            out[i] = np.array(found, dtype=np.uint32)
         return out
 
 
@@ -139,7 +138,11 @@ def _signature(tail: np.ndarray) -> tuple[int, int]:
     """The commonest id, and a min-hash of neighbouring ids."""
     if len(tail) < 2:
         return (int(tail[0]) if len(tail) else 0), 0
-    common = int(np.bincount(tail).argmax())
+    order = np.sort(tail)
+    ends = np.append(np.flatnonzero(order[1:] != order[:-1]), len(order) - 1)
+    sizes = ends + 1
+    sizes[1:] -= sizes[:-1].copy()
+    common = int(order[ends[sizes.argmax()]])  # the least of the commonest
     pairs = tail[:-1].astype(np.uint64) * np.uint64(65537) + tail[1:]
     mixed = (pairs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return common, int((mixed >> np.uint64(32)).min())

@@ -49,3 +49,21 @@ def empty(spark, schema: str = SCHEMA):
 def labels(spark, some=None):
     data = some if some is not None else [(r[0], 0 if "$$$" in (r[1] or "") else 1, 0) for r in rows()]
     return spark.createDataFrame(data, "doc_id long, quality int, toxic int")
+
+
+class CountedLooks(dict):
+    """A memory of known pieces that counts how often it is asked."""
+
+    looks = 0
+
+    def get(self, *args):
+        self.looks += 1
+        return super().get(*args)
+
+    def __getitem__(self, key):
+        self.looks += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.looks += 1
+        return super().__contains__(key)

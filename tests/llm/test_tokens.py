@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stubble.llm import bpe, bpe_stream, packing, token_counts
+from tests.llm import fixtures
 from tests.llm.fixtures import documents, empty, rows
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +78,20 @@ def test_word_ids_equal_the_library():
         assert ids.tolist() == ids_of(lib, text)
 
 
+def test_a_word_of_many_texts_is_looked_up_once():
+    lib, coder = library(BYTES), packing.WordIds(BYTES)
+    coder.known = fixtures.CountedLooks()
+    texts = ["again and again and\nagain", "", "\n", " two  blanks", "zero\0 again", "<|endoftext|> again"] * 50
+    assert [i.tolist() for i in coder.encode(texts)] == [ids_of(lib, t) for t in texts]
+    assert coder.known.looks < len(texts)
+
+
+def test_signature_names_the_least_of_the_commonest_ids():
+    assert packing._signature(np.array([9, 4, 7, 4, 9, 50256], dtype=np.uint32))[0] == 4
+    assert packing._signature(np.array([3, 3], dtype=np.uint32))[0] == 3
+    assert packing._signature(np.array([8], dtype=np.uint32)) == (8, 0)
+
+
 def test_packing_keeps_every_token_once(spark):
     lib = library(BYTES)
     data = [r for r in rows()]
