@@ -176,23 +176,22 @@ def token_bytes(path: str, texts: list[bytes]) -> list[bytes]:
     if len(known) > bpe.REMEMBERED:
         known.clear()
     special, starts = bpe.special_pattern(model), [n.encode() for n in model.special]
-    # A text with special strings is a row of parts: chunks, special, chunks, ...
+    # A text with special strings is a row of parts: text, special, text, ...
     parts, odd = [], {}
     for i, t in enumerate(texts):
         if any(s in t for s in starts):
             odd[i] = special.findall(t)
-            parts += [part.split() for part in special.split(t)]
+            parts += special.split(t)
         else:
-            parts.append(t.split())
-    # One look per chunk; what is missing is learnt together and filled in.
-    found = [list(map(known.get, chunks)) for chunks in parts]
-    lacking = [i for i, ids in enumerate(found) if None in ids]
-    fresh = list({c for i in lacking for c, ids in zip(parts[i], found[i]) if ids is None})
+            parts.append(t)
+    # Each distinct chunk is looked up once; what is missing is learnt together.
+    split = pc.ascii_split_whitespace(pa.array(parts, pa.large_binary()).view(pa.large_string()))
+    chunks, codes, edges = bpe.distinct(split, pa.large_binary())
+    known[b""] = b""  # before a leading and behind a closing blank
+    fresh = [c for c in chunks if c not in known]
     if fresh:
         known.update(zip(fresh, chunk_ids(model, fresh)))
-    for i in lacking:
-        found[i] = [known[c] if ids is None else ids for c, ids in zip(parts[i], found[i])]
-    coded = list(map(b"".join, found))
+    coded = [ids.tobytes() for ids in bpe.spread([known[c] for c in chunks], codes, edges)]
     if not odd:
         return coded
     one = {n.encode(): np.array([i], dtype="<u4").tobytes() for n, i in model.special.items()}

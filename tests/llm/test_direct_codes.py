@@ -74,6 +74,15 @@ def test_odd_documents_come_back_from_the_files(spark, tmp_path):
     assert got == {start: long[0], start + 4000: long[4000], start + len(long) - 1: 2}
 
 
+def test_a_chunk_of_many_texts_is_looked_up_once(monkeypatch):
+    known = fixtures.CountedLooks()
+    monkeypatch.setitem(direct_codes._KNOWN, PATH, known)
+    texts = ["again and again", "", " \t\v", "\x1cagain\x85and ", "a<|endoftext|>again <|startoftext|>", "\0 again\n"] * 50
+    coded = direct_codes.token_bytes(PATH, [t.encode() for t in texts])
+    assert [np.frombuffer(c, "<u4").tolist() for c in coded] == library_ids(texts)
+    assert known.looks < len(texts)
+
+
 def test_empty_table(spark, tmp_path):
     direct_codes.write_token_files(fixtures.empty(spark), PATH, f"{tmp_path}/none", end=2)
     assert direct_codes.read_documents(spark, f"{tmp_path}/none").collect() == []
