@@ -231,6 +231,17 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
             total, begin = 0, i + 1
 
 
+def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that Arrow no longer uses goes back to the system behind each.
+
+    A worker that has ended its task waits for the next one, with all that the pool still holds.
+    """
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def distinct(lists: pa.ListArray, kind: pa.DataType) -> tuple[list, np.ndarray, np.ndarray]:
     """The distinct strings in the lists as ``kind``, the number of each entry's string, and the lists' edges."""
     coded = lists.flatten().dictionary_encode()

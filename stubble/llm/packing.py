@@ -45,6 +45,8 @@ _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 #: Marks pieces whose ids depend on the text around them; no piece has one byte of ids.
 _WHOLE = b"\0"
+#: Pieces that a Python worker remembers; an idle worker holds them while other jobs run.
+REMEMBERED = 100_000
 
 
 class WordIds:
@@ -57,22 +59,24 @@ class WordIds:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {c: b for b, c in enumerate(bpe.byte_alphabet())}
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items()}
         self.coder = tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.special = [a["content"] for a in spec["added_tokens"]]
         self.size = 1 + max([*ranks.values(), *(a["id"] for a in spec["added_tokens"])])
         self.newline = self.coder.encode_ordinary("\n")[0]
         self.known: dict[str, bytes] = {}
 
-    def _clear(self) -> None:
-        self.known.clear()
-        self.known["\n"] = np.array([self.newline], dtype="<u4").tobytes()
+    @functools.cached_property
+    def library(self):
+        """Loaded for the first text that needs it, because it takes 40 MB of a worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces: a line's first word, or a word with the blank before it."""
@@ -98,9 +102,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as an array of unsigned 32-bit integers."""
-        if len(self.known) > bpe.REMEMBERED or not self.known:
-            self._clear()
         known = self.known
+        known["\n"] = np.array([self.newline], dtype="<u4").tobytes()
         odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
         # A text with a zero character cannot be parted at one.
         parted = [
@@ -114,6 +117,9 @@ class WordIds:
         if fresh:
             self._learn(fresh)
         ids = [known[p] for p in pieces]
+        # The first pieces are the commoner ones; what was learnt beyond the bound goes again.
+        for p in fresh[::-1][: max(0, len(known) - REMEMBERED)]:
+            del known[p]
         hard = np.array([i == _WHOLE for i in ids], dtype=bool)[codes]
         at = np.concatenate([[0], np.cumsum(hard)])[edges]
         whole = np.flatnonzero(np.diff(at)).tolist()  # among them empty, odd and zero-holding texts
@@ -154,7 +160,7 @@ def tokenised(docs: DataFrame, path: str, window: int, end: int, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             for part, texts in bpe.blocks(batch, "text"):
                 out: dict[str, list] = {k: [] for k in ("n", "crcs", "tail", "common", "near")}
                 for ids in coder.encode([t.decode("utf-8", "replace") for t in texts]):
@@ -179,7 +185,7 @@ def document_frequencies(tails: DataFrame, size: int, wide: bool) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, dtype=np.int64)
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             for tail in batch.column(0).to_pylist():
                 counts[np.unique(np.frombuffer(tail, "<u4" if wide else "<u2"))] += 1
         ids = np.flatnonzero(counts)
@@ -330,7 +336,7 @@ def pack(
             columns = list(zip(*out)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             docs_, ns, crcs, tails = (batch.column(i).to_pylist() for i in range(4))
             for doc, n, c, tail in zip(docs_, ns, crcs, tails):
                 held.append((doc, n, c, np.frombuffer(tail, kind)))

@@ -86,6 +86,37 @@ def test_a_word_of_many_texts_is_looked_up_once():
     assert coder.known.looks < len(texts)
 
 
+def test_word_ids_forget_what_is_beyond_the_bound(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 200, raising=False)
+    lib, coder = library(BYTES), packing.WordIds(BYTES)
+    for k in range(8):
+        texts = [f"the same words and w{k}x{i} z{i * k}q\n and  blanks" for i in range(60)]
+        assert [x.tolist() for x in coder.encode(texts)] == [ids_of(lib, t) for t in texts]
+        assert len(coder.known) <= 200
+
+
+def test_word_ids_load_the_library_for_special_strings_only():
+    lib, coder = library(BYTES), packing.WordIds(BYTES)
+    coder.encode(["plain words", "", "two  blanks\n"])
+    assert "library" not in vars(coder)
+    text = f"a {coder.special[0]} b"
+    assert coder.encode([text])[0].tolist() == ids_of(lib, text)
+    assert "library" in vars(coder)
+
+
+def test_arrow_memory_is_given_back_behind_each_batch(monkeypatch):
+    class Pool:
+        given = 0
+
+        def release_unused(self):
+            self.given += 1
+
+    pool = Pool()
+    monkeypatch.setattr(bpe.pa, "default_memory_pool", lambda: pool)
+    assert [(b, pool.given) for b in bpe.frugal(iter("abc"))] == [("a", 0), ("b", 1), ("c", 2)]
+    assert pool.given == 3
+
+
 def test_signature_names_the_least_of_the_commonest_ids():
     assert packing._signature(np.array([9, 4, 7, 4, 9, 50256], dtype=np.uint32))[0] == 4
     assert packing._signature(np.array([3, 3], dtype=np.uint32))[0] == 3
