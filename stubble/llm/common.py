@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from stubble.operators.staging import staged
 
 #: ASCII white space, the separators of words in the word contracts.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch inside ``small_batches``.
+BATCH_ROWS = 2500
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,6 +45,22 @@ def with_fields(df: DataFrame, without: str | None, ddl: str) -> tuple[list[int]
     return kept, StructType([*(fields[i] for i in kept), *added.fields])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of what is planned inside have at most ``rows`` rows; then the session's own bound holds again.
+
+    A batch is held by the executor, in buffers that double as they grow, and by its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    if not 0 < int(own) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A parameter list (rules, quotas) as a table."""
     return spark.createDataFrame(rows, schema)

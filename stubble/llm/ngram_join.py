@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stubble.llm import bpe
+from stubble.llm.common import small_batches
 from stubble.llm.components import connected_components
 from stubble.operators.staging import staged, unstaged
 
@@ -124,7 +125,7 @@ def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bo
 
 
 def _texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
+    for batch in bpe.frugal(batches):
         for part, texts in bpe.blocks(batch, "text", 16_000_000):
             yield part, [shingles(t, width) for t in texts]
 
@@ -296,7 +297,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
         table[row["w"]] = row["bits"]
 
     def run(batches):
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             at = np.asarray(batch.column(2))
             maybe = (table[at // 64] >> (at % 64)) & 1
             some = batch.filter(pa.array(maybe.astype(bool)))
@@ -314,7 +315,7 @@ def _open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
     def run(batches):
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             na, ba, nb, bb = (batch.column(k).to_pylist() for k in range(2, 6))
             hit = [
                 may_link(np.frombuffer(x, np.uint8), m, np.frombuffer(y, np.uint8), n, percent)
@@ -333,7 +334,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
 
     def run(batches):
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             hit = [
                 linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
@@ -487,6 +488,11 @@ def similarity_components(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, id_col, text, width, percent)
+
+
+def _components(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"))
     first = staged(_sizes_and_frequent(docs, width))

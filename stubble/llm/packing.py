@@ -46,7 +46,7 @@ _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Marks pieces whose ids depend on the text around them; no piece has one byte of ids.
 _WHOLE = b"\0"
 #: Pieces that a Python worker remembers; an idle worker holds them while other jobs run.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 
 
 class WordIds:

@@ -59,6 +59,24 @@ def test_ngram_join_leaves_no_table_that_is_read_no_more(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows())
 
 
+@pytest.mark.parametrize("own,inside", [("10000", "2500"), ("0", "2500"), ("100", "100")])
+def test_ngram_join_takes_small_arrow_batches(spark, monkeypatch, own, inside):
+    name, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", set(), ngram_join.staged
+
+    def watched(df):
+        seen.add(spark.conf.get(name))
+        return plain(df)
+
+    monkeypatch.setattr(ngram_join, "staged", watched)
+    before = spark.conf.get(name)
+    spark.conf.set(name, own)
+    try:
+        ngram_join.similarity_components(empty(spark))
+        assert (seen, spark.conf.get(name)) == ({inside}, own)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_chains_and_blocks_beyond_a_chunk(spark, monkeypatch):
     """Copies that drift apart: no star joins them, and blocks need several trees."""
     rng = np.random.default_rng(3)
