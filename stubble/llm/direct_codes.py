@@ -33,10 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stubble.llm import bpe
+from stubble.llm.common import small_batches
 from stubble.operators.staging import staged
 
 #: A file closes when it holds so many ids.
 FILE_IDS = 1 << 22
+#: Ids of a file that are decoded at once (or those of one longer document).
+READ_IDS = 1 << 18
+#: Chunks that a Python worker remembers, and chunks that it learns at once.
+REMEMBERED = 300_000
+LEARNT = 20_000
 # Fixed values of the format.
 MAGIC = b"DAC1"
 END = b"\n"
@@ -62,11 +68,12 @@ def _rank_directories(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 def encode_ids(ids: np.ndarray) -> list[bytes]:
     """The levels of the ids: chunks, bitmap and the two directories of each."""
     out = []
-    left = ids.astype(np.uint32)
+    left = ids.astype(np.uint32, copy=False)
     while len(left):
         more = left > 0xFF
-        out += [(left & 0xFF).astype(np.uint8).tobytes(), *(a.tobytes() for a in _rank_directories(more))]
-        left = left[more] >> 8
+        out += [left.astype(np.uint8).tobytes(), *(a.tobytes() for a in _rank_directories(more))]
+        left = left[more]
+        left >>= 8
     return out
 
 
@@ -130,9 +137,16 @@ class TokenFile:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, first place in the file, and ids of every document."""
-        ids, starts = self.span(0, self.size), self.starts.tolist()
-        for doc, known, a, b in zip(self.doc_ids.tolist(), self.known.tolist(), starts, starts[1:]):
-            yield doc if known else None, a, ids[a:b]
+        begin = 0
+        while begin < self.docs:
+            first = int(self.starts[begin])
+            end = max(begin + 1, int(np.searchsorted(self.starts, first + READ_IDS, side="right")) - 1)
+            starts = self.starts[begin : end + 1].tolist()
+            ids = self.span(first, starts[-1])
+            some = slice(begin, end)
+            for doc, known, a, b in zip(self.doc_ids[some].tolist(), self.known[some].tolist(), starts, starts[1:]):
+                yield doc if known else None, a, ids[a - first : b - first]
+            begin = end
 
 
 def file_bytes(part: int, number: int, docs: list[tuple[int | None, bytes]]) -> bytes:
@@ -165,7 +179,7 @@ def chunk_ids(model: bpe.Bpe, chunks: list[bytes]) -> list[bytes]:
     return [data[a:b] for a, b in zip(begins, begins[1:])]
 
 
-#: Per file the ids of known chunks, up to ``bpe.REMEMBERED`` of them.
+#: Per file the ids of known chunks, up to ``REMEMBERED`` of them.
 _KNOWN: dict[str, dict[bytes, bytes]] = {}
 
 
@@ -173,8 +187,6 @@ def token_bytes(path: str, texts: list[bytes]) -> list[bytes]:
     """The ids of each whole text, as the library gives them without added ones."""
     model = bpe.load(path)
     known = _KNOWN.setdefault(path, {})
-    if len(known) > bpe.REMEMBERED:
-        known.clear()
     special, starts = bpe.special_pattern(model), [n.encode() for n in model.special]
     # A text with special strings is a row of parts: text, special, text, ...
     parts, odd = [], {}
@@ -184,14 +196,19 @@ def token_bytes(path: str, texts: list[bytes]) -> list[bytes]:
             parts += special.split(t)
         else:
             parts.append(t)
-    # Each distinct chunk is looked up once; what is missing is learnt together.
+    # Each distinct chunk is looked up once.
     split = pc.ascii_split_whitespace(pa.array(parts, pa.large_binary()).view(pa.large_string()))
     chunks, codes, edges = bpe.distinct(split, pa.large_binary())
     known[b""] = b""  # before a leading and behind a closing blank
     fresh = [c for c in chunks if c not in known]
-    if fresh:
-        known.update(zip(fresh, chunk_ids(model, fresh)))
-    coded = [ids.tobytes() for ids in bpe.spread([known[c] for c in chunks], codes, edges)]
+    for at in range(0, len(fresh), LEARNT):
+        some = fresh[at : at + LEARNT]
+        known.update(zip(some, chunk_ids(model, some)))
+    ids = [known[c] for c in chunks]
+    # The first chunks are the commoner ones; what was learnt beyond the bound goes again.
+    for c in fresh[::-1][: max(0, len(known) - REMEMBERED)]:
+        del known[c]
+    coded = [i.tobytes() for i in bpe.spread(ids, codes, edges)]
     if not odd:
         return coded
     one = {n.encode(): np.array([i], dtype="<u4").tobytes() for n, i in model.special.items()}
@@ -221,7 +238,7 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, docs, held = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             for some, texts in bpe.blocks(batch, "text"):
                 ids = some.column(0).to_pylist()
                 for doc, coded in zip(ids, token_bytes(path, texts)):
@@ -241,7 +258,8 @@ def write_token_files(
     ordered = placed.repartitionByRange(*sort).sortWithinPartitions(*sort).select("key", "text")
     files = ordered.mapInArrow(run, "content binary")
     # A row is a file; its text is the bytes as they are.
-    files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
+    with small_batches(df.sparkSession):
+        files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,15 +267,16 @@ def _contents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _from_files(spark: SparkSession, folder: str, ddl: str, rows) -> DataFrame:
-    """What ``rows(file, path)`` makes of each file, as a table of arrays per column."""
+    """What ``rows(file, path)`` makes of each file, staged; an Arrow batch is one file."""
     names = StructType.fromDDL(ddl).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bpe.frugal(batches):
             for name, content in zip(batch.column(0), batch.column(1)):
                 yield pa.RecordBatch.from_arrays(rows(TokenFile(content.as_py()), name.as_py()), names=names)
 
-    return _contents(spark, folder).select("path", "content").mapInArrow(run, ddl)
+    with small_batches(spark, 1):
+        return staged(_contents(spark, folder).select("path", "content").mapInArrow(run, ddl))
 
 
 def file_starts(files: DataFrame) -> DataFrame:
@@ -285,7 +304,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         return [*same, *(pa.array(c, pa.int64()) for c in columns)]
 
     ddl = "part long, number long, n_ids long, doc_id long, at long, n_tokens long, ids_crc32 long"
-    found = staged(_from_files(spark, folder, ddl, rows))
+    found = _from_files(spark, folder, ddl, rows)
     starts = staged(file_starts(found).drop("n_ids"))
     return found.join(starts, ["part", "number"]).select(
         "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
@@ -303,7 +322,7 @@ def read_ids(spark: SparkSession, folder: str, places: DataFrame, place: str = "
         numbers = [pa.array([v], pa.int64()) for v in (file.part, file.number, file.size)]
         return [*numbers, pa.array([path])]
 
-    files = staged(_from_files(spark, folder, "part long, number long, n_ids long, path string", sizes))
+    files = _from_files(spark, folder, "part long, number long, n_ids long, path string", sizes)
     spans = files.join(staged(file_starts(files).drop("n_ids")), ["part", "number"])
     # Spans and places meet by blocks of the corpus; a span covers a few blocks.
     block = lambda c: F.floor(c / F.lit(FILE_IDS))

@@ -1,5 +1,6 @@
 """Token files: round trips, random access, and the awkward documents."""
 
+import tracemalloc
 import zlib
 from glob import glob
 
@@ -44,6 +45,32 @@ def test_ids_up_to_the_edges_of_the_chunks():
     assert next(file.documents())[0] is None
 
 
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_file_is_made_and_read_in_little_memory():
+    ids = np.random.default_rng(5).integers(0, 49000, 1 << 21).astype("<u4")
+    docs = [(i, part.tobytes()) for i, part in enumerate(np.array_split(ids, 2000))]
+    content = direct_codes.file_bytes(0, 0, docs) + direct_codes.END
+    assert peak_of(lambda: direct_codes.file_bytes(0, 0, docs)) < 3.5 * ids.nbytes
+    assert peak_of(lambda: [None for _ in direct_codes.TokenFile(content).documents()]) < 2.5 * ids.nbytes
+
+
+def test_documents_across_the_spans_that_are_read_at_once(monkeypatch):
+    monkeypatch.setattr(direct_codes, "READ_IDS", 100, raising=False)
+    rng = np.random.default_rng(6)
+    docs = [(i, rng.integers(0, 70000, n).astype("<u4").tobytes()) for i, n in enumerate([0, 100, 0, 1, 99, 1, 350, 0, 60, 60, 0, 0])]
+    found = list(direct_codes.TokenFile(direct_codes.file_bytes(0, 0, docs) + direct_codes.END).documents())
+    assert [(i, x.astype("<u4").tobytes()) for i, _, x in found] == docs
+    assert [a for _, a, _ in found] == np.cumsum([0, *[len(b) // 4 for _, b in docs]])[:-1].tolist()
+
+
 def test_broken_files_are_refused():
     good = direct_codes.file_bytes(0, 0, [(1, np.array([5, 700], "<u4").tobytes())]) + direct_codes.END
     for bad in (good[:-1], good[:-9] + b"\n", b"x" + good[1:], good + bytes(8) + b"\n"):
@@ -83,6 +110,33 @@ def test_a_chunk_of_many_texts_is_looked_up_once(monkeypatch):
     assert known.looks < len(texts)
 
 
+def test_chunks_beyond_the_bound_are_forgotten(monkeypatch):
+    monkeypatch.setattr(direct_codes, "REMEMBERED", 200, raising=False)
+    monkeypatch.setattr(direct_codes, "LEARNT", 7, raising=False)
+    monkeypatch.setitem(direct_codes._KNOWN, PATH, {})
+    for k in range(8):
+        texts = [f"the same words and w{k}x{i} z{i * k}q\n  blanks \u00dc{i}" for i in range(60)]
+        coded = direct_codes.token_bytes(PATH, [t.encode() for t in texts])
+        assert [np.frombuffer(c, "<u4").tolist() for c in coded] == library_ids(texts)
+        assert len(direct_codes._KNOWN[PATH]) <= 200
+
+
+def test_arrow_batches_are_small(spark, tmp_path, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def watch(owner, call):
+        plain = getattr(owner, call)
+        monkeypatch.setattr(owner, call, lambda *args: (seen.append((call, spark.conf.get(name))), plain(*args))[1])
+
+    docs, own = fixtures.documents(spark), spark.conf.get(name)
+    watch(type(docs.write), "text")
+    watch(direct_codes, "staged")
+    direct_codes.write_token_files(docs, PATH, f"{tmp_path}/files", end=2)
+    direct_codes.read_documents(spark, f"{tmp_path}/files")
+    assert seen[:2] == [("text", "2500"), ("staged", "1")]
+    assert spark.conf.get(name) == own
+
+
 def test_empty_table(spark, tmp_path):
     direct_codes.write_token_files(fixtures.empty(spark), PATH, f"{tmp_path}/none", end=2)
     assert direct_codes.read_documents(spark, f"{tmp_path}/none").collect() == []
