@@ -263,7 +263,8 @@ def write_token_files(
 
 
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(folder).where("length > 0")
+    """Path and bytes of each file. No filter stands behind the scan: it would copy every file once more."""
+    return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
 def _from_files(spark: SparkSession, folder: str, ddl: str, rows) -> DataFrame:
@@ -273,10 +274,11 @@ def _from_files(spark: SparkSession, folder: str, ddl: str, rows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bpe.frugal(batches):
             for name, content in zip(batch.column(0), batch.column(1)):
-                yield pa.RecordBatch.from_arrays(rows(TokenFile(content.as_py()), name.as_py()), names=names)
+                if content := content.as_py():  # a part without documents is an empty file
+                    yield pa.RecordBatch.from_arrays(rows(TokenFile(content), name.as_py()), names=names)
 
     with small_batches(spark, 1):
-        return staged(_contents(spark, folder).select("path", "content").mapInArrow(run, ddl))
+        return staged(_contents(spark, folder).mapInArrow(run, ddl))
 
 
 def file_starts(files: DataFrame) -> DataFrame:
@@ -345,5 +347,5 @@ def read_ids(spark: SparkSession, folder: str, places: DataFrame, place: str = "
         return pa.table({"place": pc.cast(asked.column("place"), pa.int64()), "token_id": pa.array(ids.astype(np.int64))})
 
     # A file has FILE_IDS places or those of one document, and they are distinct.
-    content = _contents(spark, folder).select("path", "content").join(found.select("path").distinct(), "path", "left_semi")
+    content = _contents(spark, folder).join(found.select("path").distinct(), "path", "left_semi")
     return found.groupBy("path").cogroup(content.groupBy("path")).applyInArrow(look, "place long, token_id long")

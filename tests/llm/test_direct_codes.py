@@ -137,6 +137,19 @@ def test_arrow_batches_are_small(spark, tmp_path, monkeypatch):
     assert spark.conf.get(name) == own
 
 
+def test_files_go_from_the_scan_to_python_and_empty_ones_are_passed_over(spark, tmp_path, capsys):
+    folder = f"{tmp_path}/files"
+    direct_codes.write_token_files(fixtures.documents(spark, [(1, "some words", "en", "s", 5, "x")]), PATH, folder, end=2)
+    (tmp_path / "files/part-empty.txt").write_bytes(b"")
+    assert [r["doc_id"] for r in direct_codes.read_documents(spark, folder).collect()] == [1]
+    places = spark.createDataFrame([(0,)], "place long")
+    assert direct_codes.read_ids(spark, folder, places).count() == 1
+    capsys.readouterr()
+    direct_codes._contents(spark, folder).explain()
+    plan = capsys.readouterr().out
+    assert "FileScan binaryFile" in plan and "Filter (" not in plan and "Project [" not in plan
+
+
 def test_empty_table(spark, tmp_path):
     direct_codes.write_token_files(fixtures.empty(spark), PATH, f"{tmp_path}/none", end=2)
     assert direct_codes.read_documents(spark, f"{tmp_path}/none").collect() == []
